@@ -49,7 +49,10 @@ def ragged(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
     lens = at[rows + 1] - starts
     to = np.zeros(len(rows) + 1, np.int64)
     np.cumsum(lens, out=to[1:])
-    return flat[np.arange(to[-1]) + np.repeat(starts - to[:-1], lens)], to
+    narrow = np.int32 if max(to[-1], at[-1]) < 1 << 31 else np.int64
+    source = np.repeat((starts - to[:-1]).astype(narrow), lens)
+    source += np.arange(to[-1], dtype=narrow)
+    return flat[source], to
 
 
 def byte_chars() -> list[str]:
