@@ -2,8 +2,8 @@
 
 Documents are range-partitioned and sorted by id; each partition encodes its documents with the
 tokenizers library and writes one shard: an Arrow file whose record batches hold two fixed-size-list
-columns, ``input_ids`` (uint32) and ``mask`` (uint8, 0 where the last sequence is padded), and a second
-Arrow file with doc_id, start in the shard and n_tokens of each document. Sequences run on across
+columns, ``input_ids`` (the narrowest unsigned integers that hold the vocabulary) and ``mask`` (bits, unset
+where the last sequence is padded), and a second Arrow file with doc_id, start in the shard and n_tokens of each document. Sequences run on across
 documents. The files' footers locate every batch, so a reader that maps a file gets any sequence
 as a view, without a copy. Names are made anew by each task attempt; the manifest lists those of
 the attempts that counted.
@@ -90,8 +90,8 @@ def codec(path: str = VOCABULARY) -> WordBPE:
     return WordBPE(path)
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, ids: pa.DataType) -> pa.Schema:
+    return pa.schema([("input_ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -100,8 +100,11 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 class SequenceWriter:
     """Writes a stream of ids as equal-length sequences, a batch at a time."""
 
-    def __init__(self, sink, length: int, rows: int = ROWS):
-        self.file = pa.ipc.new_file(sink, sequence_schema(length))
+    def __init__(self, sink, length: int, most: int, rows: int = ROWS):
+        """``most``: the largest id."""
+        self.dtype = np.uint16 if most < 1 << 16 else np.uint32
+        self.schema = sequence_schema(length, pa.from_numpy_dtype(self.dtype))
+        self.file = pa.ipc.new_file(sink, self.schema)
         self.length, self.rows = length, rows
         self.held: list[np.ndarray] = []
         self.waiting = self.n_rows = 0
@@ -118,15 +121,10 @@ class SequenceWriter:
 
     def _write(self, flat: np.ndarray) -> None:
         pad = -len(flat) % self.length
-        mask = np.ones(len(flat) + pad, np.uint8)
-        mask[len(flat) :] = 0
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (np.concatenate([flat, np.zeros(pad, np.uint32)]), mask)]
+        mask = np.arange(len(flat) + pad) < len(flat)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (np.pad(flat.astype(self.dtype), (0, pad)), mask)]
         self.n_rows += len(lists[0])
-        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.file_schema))
-
-    @property
-    def file_schema(self) -> pa.Schema:
-        return sequence_schema(self.length)
+        self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
         if self.waiting:
@@ -143,17 +141,16 @@ class Sequences:
         self.file = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
         self.length = self.file.schema.field("input_ids").type.list_size
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(input_ids, mask) of sequence ``i``."""
-        batch = self.file.get_batch(i // ROWS)
-        k = i % ROWS
-        return tuple(c.values[k * self.length : (k + 1) * self.length].to_numpy(zero_copy_only=True) for c in batch.columns)
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(input_ids, mask) of sequence ``i``, both views."""
+        ids, mask = (c.values.slice(i % ROWS * self.length, self.length) for c in self.file.get_batch(i // ROWS).columns)
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def ids(self) -> Iterator[np.ndarray]:
         """All real ids in order, a batch at a time."""
         for b in range(self.file.num_record_batches):
-            ids, mask = (c.values.to_numpy(zero_copy_only=True) for c in self.file.get_batch(b).columns)
-            yield ids if mask[-1] else ids[: int(np.count_nonzero(mask))]
+            ids, mask = (c.values for c in self.file.get_batch(b).columns)
+            yield ids.to_numpy(zero_copy_only=True)[: mask.true_count]
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, end_id: int = 1, length: int = LENGTH) -> DataFrame:
@@ -176,7 +173,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                 fs, top = scratch.open_fs(own)
                 fs.create_dir(top.rpartition("/")[0], recursive=True)
                 sinks = [fs.open_output_stream(f"{top}{x}.arrow") for x in ("", ".docs")]
-                writer, index = SequenceWriter(sinks[0], length), pa.ipc.new_file(sinks[1], DOCS)
+                writer, index = SequenceWriter(sinks[0], length, max(end_id, bpe.tokenizer.get_vocab_size() - 1)), pa.ipc.new_file(sinks[1], DOCS)
             ids, at = bpe.encode(batch.column("text"))
             n = np.diff(at) + 1
             writer.put(np.insert(ids, at[1:], np.uint32(end_id)))
@@ -203,7 +200,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, docs_path, offset in zip(*(batch.column(c).to_pylist() for c in ("path", "docs_path", "offset")), strict=True):
                 fs, name = scratch.open_fs(docs_path)
-                blocks, block = Sequences(path).ids(), np.zeros(0, np.uint32)
+                blocks, block = Sequences(path).ids(), np.zeros(0, np.uint16)
                 with fs.open_input_file(name) as source:
                     index = pa.ipc.open_file(source)
                     for b in range(index.num_record_batches):
@@ -214,7 +211,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                             while left:
                                 if not len(block):
                                     block = next(blocks)
-                                crc = zlib.crc32(block[:left].astype("<u4", copy=False), crc)
+                                crc = zlib.crc32(block[:left].astype("<u4"), crc)
                                 left, block = left - len(block[:left]), block[left:]
                             crcs.append(crc)
                         yield pa.RecordBatch.from_arrays([doc, pc.add(start, offset), n, pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
