@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries; each has QUERIES and ORACLE.
-MODULES = ("exact_dedup", "langid", "pii", "near_dedup", "token_files", "ann", "byte_bpe", "mixing")
+MODULES = ("exact_dedup", "langid", "pii", "near_dedup", "token_files", "ann", "warc", "byte_bpe", "mixing")
 
 
 def _gather(what: str) -> dict:
