@@ -193,24 +193,26 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path:
     return coded.select(F.col(id_col).alias("key"), F.col(ids_col).alias("ids")).mapInArrow(run, f"key {kind}, data binary, text string").withColumnRenamed("key", id_col)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode its ids, and return digests of both.
 
     Returns per row: the id column, n_tokens, ids_sha256 (of the decimal ids joined by commas),
-    decoded_sha256 (of the decoded bytes). Nulls, repeats and other columns are as in ``encode``.
+    decoded_sha256 (of the decoded bytes), and with ``with_ids`` the ids themselves. Nulls, repeats and other columns are as in ``encode``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in by_bytes(batches, "text", 16 << 20):
-            rows = []
+            rows, coded = [], []
             for ids in bpe.encode_texts([d.decode() for d in values(batch.column("text"))]):
+                coded.append(ids)
                 rows.append((len(ids), hashlib.sha256(bpe.decimal(ids)).hexdigest(), hashlib.sha256(bpe.decode_ids(ids)).hexdigest()))
             n, a, b = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [batch.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([pa.array(coded, pa.list_(pa.int32()))] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
-    out = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("key", id_col)
 
 

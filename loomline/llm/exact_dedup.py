@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -231,6 +231,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memor
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("is_rep") & F.col("wins")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``dedup`` keeps."""
+    kept = dedup(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).cast("long").alias("__id"), F.col("text_sha256").alias("__sha"))
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    rows = docs.withColumn("__own", sha)
+    rows = rows.join(kept, rows[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    # of rows that repeat both, one
+    repeat = Window.partitionBy(id_col, "__own").orderBy(id_col)
+    return rows.withColumn("__n", F.row_number().over(repeat)).where("__n = 1").select(*docs.columns)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -128,6 +128,18 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return dict(sorted(out.items()))
 
 
+def classify(texts: list[bytes], prototypes: dict[str, np.ndarray], letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(languages, scores, whether each is known, number of letters) of texts."""
+    vectors, n = profiles(texts, letters)
+    names = list(prototypes)
+    if not names:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool), n
+    cosine = (vectors @ np.array([prototypes[x] for x in names], np.float32).T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    best, known = cosine.argmax(axis=1), n > 0
+    score = np.where(known, np.clip(cosine[np.arange(len(best)), best].astype(np.float64), 0, 1), 0.0)
+    return [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, known, n
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """lang_pred, score (cosine, 0 to 1) and n_letters of every row's whole text.
 
@@ -136,25 +148,31 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     scored. Other columns of the input aren't carried. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = list(prototypes)
-    matrix = np.array([prototypes[x] for x in names], np.float32).T if names else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_vectors(matrix.shape[0] if names else DIMENSIONS)
+        letters = letter_vectors(len(next(iter(prototypes.values()))) if prototypes else DIMENSIONS)
         for batch in _blocks(batches):
-            vectors, n = profiles(values(batch.column("text")), letters)
-            if names:
-                cosine = (vectors @ matrix) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                best = cosine.argmax(axis=1)
-                score = np.clip(cosine[np.arange(len(best)), best].astype(np.float64), 0, 1)
-            known = (n > 0) & bool(names)
-            lang = [names[best[j]] if known[j] else UNKNOWN for j in range(len(n))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lang, pa.string()), pa.array(np.where(known, score if names else 0.0, 0.0)), pa.array(n)], names=["key", "lang_pred", "score", "n_letters"])
+            lang, score, _, n = classify(values(batch.column("text")), prototypes, letters)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lang, pa.string()), pa.array(score), pa.array(n)], names=["key", "lang_pred", "score", "n_letters"])
 
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, n_letters long").withColumnRenamed("key", id_col)
 
 
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: those that ``predict`` calls ``und`` go."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_vectors(len(next(iter(prototypes.values()))) if prototypes else DIMENSIONS)
+        for batch in by_bytes(batches, text_col, 2 << 20):
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                known = classify(values(part.column(text_col)), prototypes, letters)[2]
+                yield part.filter(pa.array(known))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

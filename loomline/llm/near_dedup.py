@@ -178,13 +178,14 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     Returns one row per input row: the id column, n_shingles, component_id (smallest id reachable) and kept
     (whether that is the row's own). Texts without words, and nulls, are linked with nothing. Rows that
-    repeat an id are one document: linked with what any of them is linked with. Ids are integers, not
-    null. Other columns of the input aren't carried. An empty table gives an empty result.
+    repeat an id are one document: linked with what any of them is linked with. Rows without an id are
+    linked with nothing and kept. Other columns of the input aren't carried. An empty table gives an empty result.
     """
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.write_table(sign(rows_in, words, bands, rows), "near-signed")
-    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"))
-    keyed = signed.where("set_key is not null").join(classes, ["set_key", "id"]).select("id", "n", F.explode("bands").alias("key"))
+    linkable = signed.where("set_key is not null and id is not null")
+    classes = linkable.groupBy("set_key").agg(F.min("id").alias("id"))
+    keyed = linkable.join(classes, ["set_key", "id"]).select("id", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
     shared = scratch.write_table(keyed.join(buckets, "key").select("key", "id", "n", "company").distinct(), "near-shared")
     # repeats of an id may have made a bucket of one node
@@ -214,8 +215,14 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             links = scratch.write_table(links.union(confirm(pairs, texts, words, percent)), "near-links")
         done, many = done + many, 2 * many
     ends = classes.withColumnRenamed("id", "node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
-    out = signed.select("id", "n", "set_key").join(ends, "set_key", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), (F.col("comp") == F.col("id")).alias("kept"))
+    out = signed.select("id", "n", "set_key").join(ends, "set_key", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("comp"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("comp").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``cluster`` keeps: one document of each component."""
+    kept = cluster(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__id")).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
