@@ -57,7 +57,8 @@ def scores(df: DataFrame, by: list[str], y: str, xs: list[str], target: str, con
     regressors = [*([F.lit(1.0)] if constant else []), *[F.col(x).cast("double") for x in xs]]
     at = xs.index(target) + int(constant)
     solved = moments(d, by, [*regressors, F.col(y).cast("double")]).withColumn("s", solver(len(regressors), at)("m"))
-    solved = solved.select(*by, "n", F.col("s.beta").alias("__b"), F.col("s.row").alias("__r"))
+    classical = F.try_divide(F.col("s.ssr"), F.col("n") - len(regressors)) * F.col("s.row")[at]
+    solved = solved.select(*by, "n", F.col("s.beta").alias("__b"), F.col("s.row").alias("__r"), F.col("s.ssr").alias("ssr"), classical.alias("classical"))
     d = d.join(solved, by) if by else d.join(F.broadcast(solved))  # without groups, one row
     return d.withColumn("u", F.col(y) - dot(regressors, F.col("__b"))).withColumn("q", dot(regressors, F.col("__r")) * F.col("u")).withColumn("beta", F.col("__b")[at])
 
@@ -74,8 +75,10 @@ def _lagged(d: DataFrame, by: list[str], order: str, most: int, bandwidth: Colum
 
 
 def estimate(d: DataFrame, by: list[str], se: str, order: str | None = None, cluster: str | None = None, most: int = 0, bandwidth: Column | None = None, alpha: float = 0.10) -> DataFrame:
-    """beta, se, t, lo, hi, n by group from ``scores``; se: hc0, hac, cluster (no small-sample factor), or dk."""
-    if se == "hac":
+    """beta, se, t, lo, hi, n by group from ``scores``; se: classical, hc0, hac, cluster (no small-sample factor), or dk."""
+    if se == "classical":
+        v = d.groupBy(*by).agg(F.first("beta").alias("beta"), F.first("n").alias("n"), F.first("classical").alias("variance"))
+    elif se == "hac":
         v = _lagged(d, by, order, most, bandwidth if bandwidth is not None else F.lit(most))
     elif se == "dk":
         times = d.groupBy(*by, order).agg(F.sum("q").alias("q"), F.first("beta").alias("beta"), F.first("n").alias("n"))
@@ -139,7 +142,7 @@ def lp_iv(df: DataFrame, by: list[str], order: str, y: str, x: str, z: str, hs:
     keys, rest = [*by, "h"], xs[1:]
     first = scores(d, keys, x, ["__z", *rest], "__z")
     f = estimate(first, keys, "hac", order, most=max(hs) + 1, bandwidth=F.col("h") + 1).select(*keys, (F.col("t") * F.col("t")).alias("first_stage_f"))
-    fitted = first.withColumn("fitted", F.col(x) - F.col("u")).drop("u", "q", "beta", "n", "__b", "__r")
+    fitted = first.withColumn("fitted", F.col(x) - F.col("u")).drop("u", "q", "beta", "n", "__b", "__r", "ssr", "classical")
     return estimate(scores(fitted, keys, "dy", ["fitted", *rest], "fitted"), keys, "hac", order, most=max(hs) + 1, bandwidth=F.col("h") + 1, alpha=alpha).join(f, keys)
 
 
