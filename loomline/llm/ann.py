@@ -27,6 +27,8 @@ M = 8
 SAMPLE = 20_000
 CELL = 16_384
 LEAF = 128
+#: Squared distance that rounding may put between projections of equal vectors.
+SLACK = 1e-12
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -103,7 +105,7 @@ class Piece:
         best: list[tuple[float, int]] = []
         q_norm = math.sqrt((q * q).sum())
         for near, rows in self.tree.leaves(q_point):
-            if near > quantile * bound:
+            if near > quantile * bound + SLACK:
                 break
             # row sums, which don't depend on a row's place, so that equal vectors have equal scores
             score = (self.vectors[rows] * q).sum(axis=1) / (self.norms[rows] * q_norm)
@@ -246,7 +248,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
             who, where = [], []
             for j in range(len(p)):
                 gap = np.maximum(0, np.maximum(low - p[j], p[j] - high))
-                go = names[((gap * gap).sum(axis=1) <= quantile * bound[j]) & (names != home[j])]
+                go = names[((gap * gap).sum(axis=1) <= quantile * bound[j] + SLACK) & (names != home[j])]
                 who += [j] * len(go)
                 where += go.tolist()
             if who:
