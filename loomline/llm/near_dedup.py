@@ -8,10 +8,11 @@
    its buckets. The star's edges are the candidates, so a bucket gives one less than it has nodes.
 3. Candidates are confirmed on their full sets, and links make components.
 4. Where a bucket still has nodes of several components, a task compares the signatures, a byte a value, of
-   those outside the bucket's largest component with all others; each such node's most similar few in
-   other components are candidates, if the estimate isn't five standard errors below the threshold.
-   Rounds go on, with more candidates each, until none is left to confirm. A link is lost only when its
-   ends share no bucket or estimate that low, at similarity 0.8 a few times in a million.
+   those outside the bucket's largest component with all others; pairs of other components stay if the
+   estimate isn't five standard errors below the threshold. Two bytes of each shingle's hash then bound their
+   intersection from above, and each such node's most similar few that remain are candidates.
+   Rounds go on, with more candidates each, until every node has had all of its own confirmed. A link is lost
+   only when its ends share no bucket or estimate that low, at similarity 0.8 a few times in a million.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ from .batches import by_bytes
 BANDS, ROWS = 42, 6
 #: Leaves that one copy of a centre's text serves.
 HUB = 2000
+#: Candidates of a node in the first round over open buckets; each further round has as many times more.
+FIRST = 32
+#: Shingles of a set at most of which ``likely`` gets two bytes each; larger sets go by their estimates alone.
+SMALL = 4096
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -178,8 +183,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
 
 
+def small_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, small): two bytes of each shingle's hash; none for sets over SMALL, or where rows of an id differ."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            sets = shingle_sets(batch.column("text"), words)
+            small = [(s >> np.uint64(48)).astype("<u2").tobytes() if len(s) <= SMALL else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(small, pa.binary())], names=["id", "small"])
+
+    same = F.min("small") == F.max("small")
+    return texts.mapInArrow(run, "id long, small binary").groupBy("id").agg(F.when(same, F.min("small")).otherwise(F.lit(b"")).alias("small"))
+
+
 def likely(most: int, percent: int, width: int):
-    """mapInArrow over open buckets, rows (key, inside, id, n, comp, sketch) in order of key and inside: candidates.
+    """mapInArrow over open buckets, rows (key, inside, id, n, comp, sketch, small) in order of key and inside: candidates.
 
     The nodes outside the bucket's largest component, which come first, are held; those inside stream
     past. Each node outside gets its ``most`` best partners of other components; ``total`` is how many
@@ -190,6 +208,7 @@ def likely(most: int, percent: int, width: int):
     class Bucket:
         def __init__(self, key: int):
             self.key, self.parts, self.best, self.total, self.cols = key, [], None, None, None
+            self.mark = np.zeros(1 << 16, bool)
 
         def seal(self) -> None:
             """All nodes outside are known: compare them among themselves."""
@@ -198,8 +217,21 @@ def likely(most: int, percent: int, width: int):
             self.best, self.total = [[] for _ in range(m)], np.zeros(m, np.int64)
             self.meet(self.cols, earlier=True)
 
+        def may(self, one: np.ndarray, others: list[np.ndarray], n: int, sizes: np.ndarray) -> np.ndarray:
+            """Whether each pair's intersection, counted by equal two bytes, is large enough."""
+            length = np.array([len(x) for x in others])
+            known = np.flatnonzero(length)
+            out = np.ones(len(others), bool)
+            if len(one) and len(known):
+                self.mark[one] = True
+                both = np.add.reduceat(self.mark[np.concatenate(others)], np.cumsum(length)[known] - length[known], dtype=np.int64)
+                self.mark[one] = False
+                both = np.minimum(both, np.minimum(n, sizes[known]))
+                out[known] = 100 * both >= percent * (n + sizes[known] - both)
+            return out
+
         def meet(self, cols: list[np.ndarray], earlier: bool = False) -> None:
-            ids, n, comp, sketch = self.cols
+            ids, n, comp, sketch, small = self.cols
             for j in range(len(ids)):
                 other = [c[:j] for c in cols] if earlier else cols
                 fit = (other[2] != comp[j]) & (100 * np.minimum(other[1], n[j]) >= percent * np.maximum(other[1], n[j]))
@@ -207,6 +239,9 @@ def likely(most: int, percent: int, width: int):
                 if len(at):
                     same = (other[3][at] == sketch[j]).mean(axis=1)
                     at, same = at[same >= least], same[same >= least]
+                if len(at):
+                    fine = self.may(small[j], list(other[4][at]), n[j], other[1][at])
+                    at, same = at[fine], same[fine]
                     self.total[j] += len(at)
                     self.best[j] = sorted([*self.best[j], *zip((-same).tolist(), other[0][at].tolist(), strict=True)])[:most]
 
@@ -225,12 +260,15 @@ def likely(most: int, percent: int, width: int):
                 continue
             keys, inside, ids, n, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "inside", "id", "n", "comp"))
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(keys), width)
+            small = np.empty(len(keys), object)
+            for j, x in enumerate(batch.column("small").to_pylist()):
+                small[j] = np.frombuffer(x, "<u2")
             cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (inside[1:] != inside[:-1])]))
             for lo, hi in zip(cut, [*cut[1:], len(keys)], strict=True):
                 if now is None or now.key != keys[lo]:
                     yield from close(now)
                     now = Bucket(keys[lo])
-                cols = [x[lo:hi] for x in (ids, n, comp, sketch)]
+                cols = [x[lo:hi] for x in (ids, n, comp, sketch, small)]
                 if not inside[lo]:
                     now.parts.append(cols)
                 else:
@@ -268,22 +306,23 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     pairs = scratch.write_table(pairs, "near-pairs")
     links = scratch.write_table(confirm(pairs, texts, words, percent), "near-links")
     sketches = linkable.join(central, "id", "left_semi").select("id", "sketch").dropDuplicates(["id"])
-    tested, most, width = pairs, 4, bands * rows
+    tested, most, width, comps = pairs, FIRST, bands * rows, components(links)
     while True:
-        comps = components(links)
         labelled = placed.join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
         sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"))
         open_keys = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main")).where("comps > 1").drop("comps")
         left = labelled.join(open_keys, "key").select("key", (F.col("comp") == F.col("main")).alias("inside"), "id", "n", "comp")
-        left = left.join(sketches, "id").select("key", "inside", "id", "n", "comp", "sketch")
+        open_texts = texts.join(left.select("id").distinct(), "id", "left_semi")
+        left = left.join(sketches.join(small_sets(open_texts, words), "id"), "id").select("key", "inside", "id", "n", "comp", "sketch", "small")
         found = scratch.write_table(left.repartition("key").sortWithinPartitions("key", "inside").mapInArrow(likely(most, percent, width), "a long, b long, total long"), "near-likely")
         pairs = scratch.write_table(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            tested = tested.union(pairs)
-            links = scratch.write_table(links.union(confirm(pairs, texts, words, percent)), "near-links")
-        elif (found.agg(F.max("total")).first()[0] or 0) <= most:
+        more = scratch.write_table(confirm(pairs, texts, words, percent), "near-links")
+        if not more.isEmpty():
+            # a component's star stands for its links
+            comps = components(comps.where("id != comp").toDF("a", "b").union(more))
+        if (found.agg(F.max("total")).first()[0] or 0) <= most:
             break
-        most *= 4
+        tested, most = tested.union(pairs), most * FIRST
     ends = classes.withColumnRenamed("id", "node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
     out = signed.select("id", "n", "set_key").join(ends, "set_key", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("comp"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("comp").eqNullSafe(F.col("id")).alias("kept"))
