@@ -233,13 +233,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memor
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that ``dedup`` keeps."""
-    kept = dedup(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).cast("long").alias("__id"), F.col("text_sha256").alias("__sha"))
+    name = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
+    kept = dedup(docs, id_col, text_col, **options).where("kept").select(name.alias("__id"), F.col("text_sha256").alias("__own"))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    rows = docs.withColumn("__own", sha)
-    rows = rows.join(kept, rows[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    # of rows that repeat both, one
-    repeat = Window.partitionBy(id_col, "__own").orderBy(id_col)
-    return rows.withColumn("__n", F.row_number().over(repeat)).where("__n = 1").select(*docs.columns)
+    # of rows that repeat both, one; the join then finds the window's partitions, so texts are shuffled once
+    repeat = Window.partitionBy("__id", "__own").orderBy(F.lit(1))
+    rows = docs.withColumns({"__id": name, "__own": sha}).withColumn("__n", F.row_number().over(repeat)).where("__n = 1")
+    return rows.join(kept, ["__id", "__own"], "left_semi").select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
