@@ -203,7 +203,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in by_bytes(batches, "text", 16 << 20):
+        for batch in by_bytes(batches, "text", 8 << 20):
             rows, coded = [], []
             for ids in bpe.encode_texts([d.decode() for d in values(batch.column("text"))]):
                 coded.append(ids)
