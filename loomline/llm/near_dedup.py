@@ -11,6 +11,8 @@
    those outside the bucket's largest component with all others; pairs of other components stay if the
    estimate isn't five standard errors below the threshold. Two bytes of each shingle's hash then bound their
    intersection from above, and each such node's most similar few that remain are candidates.
+   The nodes of buckets over BLOCK aren't compared by bucket: they meet by their rarest shingles instead
+   (a prefix filter, exact for any order of shingles), and a shingle of many nodes is split into tiles.
    Rounds go on, with more candidates each, until every node has had all of its own confirmed. A link is lost
    only when its ends share no bucket or estimate that low, at similarity 0.8 a few times in a million.
 """
@@ -36,6 +38,10 @@ HUB = 2000
 FIRST = 32
 #: Shingles of a set at most of which ``likely`` gets two bytes each; larger sets go by their estimates alone.
 SMALL = 4096
+#: Nodes of an open bucket that are compared in one place, and of each side of a tile.
+BLOCK = 1024
+#: Nodes whose shingles are counted, and counted shingles that are kept, to order shingles by how common they are.
+SAMPLE, COMMON = 10_000, 400_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -196,11 +202,92 @@ def small_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, small binary").groupBy("id").agg(F.when(same, F.min("small")).otherwise(F.lit(b"")).alias("small"))
 
 
+def common_shingles(texts: DataFrame, words: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most common shingles, and in how many of about SAMPLE of the ``nodes`` texts each is."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch.column("text"), words) or [np.zeros(0, np.uint64)]).view(np.int64))], names=["shingle"])
+
+    chosen = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, SAMPLE / nodes) * 1_000_003
+    counts = scratch.write_table(texts.where(chosen).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("texts")), "near-common")
+    least = max(2, (counts.agg(F.sum("texts")).first()[0] or 0) // COMMON + 1)
+    got = counts.where(F.col("texts") >= least).toArrow()
+    shingle, n = got.column("shingle").to_numpy().view(np.uint64), got.column("texts").to_numpy()
+    at = np.argsort(shingle)
+    return shingle[at], n[at]
+
+
+def prefix(s: np.ndarray, percent: int, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set one of which it shares with every set similar enough and no larger, and how many
+    of them, the first, are such for every set no smaller."""
+    n = len(s)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        rank = np.where(common[at] == s, counts[at], 0)
+    # s is sorted: equal ranks are in order of their hashes, in every set the same
+    least, equal = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
+    return s[np.argsort(rank, kind="stable")[: n - least + 1]], n - equal + 1
+
+
+def prefixes(texts: DataFrame, words: int, percent: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(id, shingle, lead): two similar sets share a shingle here that is a lead of the smaller (of either, if equal)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            out = [(doc, *prefix(s, percent, common, counts)) for doc, s in zip(batch.column("id").to_pylist(), shingle_sets(batch.column("text"), words), strict=True) if len(s)]
+            if out:
+                ids, own, lead = (np.concatenate(c) for c in zip(*((np.full(len(x), doc, np.int64), x.view(np.int64), np.arange(len(x)) < k) for doc, x, k in out), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own), pa.array(lead)], names=["id", "shingle", "lead"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingle long, lead boolean").groupBy("id", "shingle").agg(F.max("lead").alias("lead"))
+
+
+def tiles(rows: DataFrame) -> DataFrame:
+    """(key, inside, id, n, comp) from rows (id, n, comp, shingle, lead): for ``likely``, blocks of at most about BLOCK
+    held nodes and as many others.
+
+    Of the nodes of a shingle, leads outside its largest component meet each other and all others, and leads
+    inside it meet the others outside. Either side is dealt into parts, and each pair of parts is a tile.
+    """
+    rows = scratch.write_table(rows, "near-prefixes")
+    sizes = rows.groupBy("shingle", "comp").agg(F.count("*").alias("c"), F.count_if("lead").alias("l"))
+    top = F.max(F.struct("c", "comp", "l"))
+    sums = sizes.groupBy("shingle").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.sum("l").alias("leads"), top.alias("top"))
+    outer, inner = F.col("leads") - F.col("top.l"), F.col("top.l")
+    rest, other = F.col("all") - outer, F.col("all") - F.col("top.c") - outer
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    meets = (F.col("comps") > 1) & ((outer > 0) | ((inner > 0) & (other > 0)))
+    known = sums.select("shingle", "all", F.col("top.comp").alias("main"), meets.alias("meets"), (outer > 0).alias("a"), ((inner > 0) & (other > 0)).alias("b"), parts(outer).alias("ka"), parts(rest).alias("ra"), parts(inner).alias("kb"), parts(other).alias("rb"))
+    known = scratch.write_table(known.where((F.col("all") > BLOCK) | F.col("meets")), "near-shingles")
+    # a shingle of many nodes is no key of a shuffle
+    hot = rows.join(F.broadcast(known.where(F.col("all") > BLOCK)), "shingle", "left")
+    cold = hot.where("main is null").select(*rows.columns).join(known.where(F.col("all") <= BLOCK), "shingle")
+    met = hot.where("meets").unionByName(cold)
+
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    part = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.col(k)).cast("int")
+    tile = lambda kind, i, j, inside: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), inside.alias("inside"))
+    no, yes = F.lit(False), F.lit(True)
+    none = F.array().cast("array<struct<kind:string,i:int,j:int,inside:boolean>>")
+    # the others' part 0 goes with the tiles of the leads outside that meet each other
+    i = part("ka")
+    own = F.concat(F.transform(upto("ka"), lambda j: tile("a", F.least(i, j), F.greatest(i, j), j < i)), F.transform(F.slice(upto("ra"), 2, F.col("ra")), lambda j: tile("r", i, j, no)))
+    j = part("ra")
+    others = F.transform(upto("ka"), lambda i: F.when(j == 0, tile("a", i, i, yes)).otherwise(tile("r", i, j, yes)))
+    outside, lead = F.col("comp") != F.col("main"), F.col("lead")
+    first = F.when(~F.col("a"), none).when(outside & lead, own).otherwise(others)
+    second = F.when(F.col("b") & ~outside & lead, F.transform(upto("rb"), lambda j: tile("b", part("kb"), j, no))).when(F.col("b") & outside & ~lead, F.transform(upto("kb"), lambda i: tile("b", i, part("rb"), yes))).otherwise(none)
+    dealt = met.select("shingle", "id", "n", "comp", F.explode(F.concat(first, second)).alias("t"))
+    return dealt.select(F.xxhash64("shingle", "t.kind", "t.i", "t.j").alias("key"), "t.inside", "id", "n", "comp")
+
+
 def likely(most: int, percent: int, width: int):
     """mapInArrow over open buckets, rows (key, inside, id, n, comp, sketch, small) in order of key and inside: candidates.
 
-    The nodes outside the bucket's largest component, which come first, are held; those inside stream
-    past. Each node outside gets its ``most`` best partners of other components; ``total`` is how many
+    The nodes outside the bucket's largest component (or a tile's first side), which come first, are held;
+    those inside stream past. Each node outside gets its ``most`` best partners of other components; ``total`` is how many
     would do.
     """
     least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / width)
@@ -271,7 +358,7 @@ def likely(most: int, percent: int, width: int):
                 cols = [x[lo:hi] for x in (ids, n, comp, sketch, small)]
                 if not inside[lo]:
                     now.parts.append(cols)
-                else:
+                elif now.parts:
                     if now.cols is None:
                         now.seal()
                     now.meet(cols)
@@ -306,12 +393,21 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     pairs = scratch.write_table(pairs, "near-pairs")
     links = scratch.write_table(confirm(pairs, texts, words, percent), "near-links")
     sketches = linkable.join(central, "id", "left_semi").select("id", "sketch").dropDuplicates(["id"])
-    tested, most, width, comps = pairs, FIRST, bands * rows, components(links)
+    tested, most, width, comps, rare = pairs, FIRST, bands * rows, components(links), None
     while True:
         labelled = placed.join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
         sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        open_keys = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main")).where("comps > 1").drop("comps")
-        left = labelled.join(open_keys, "key").select("key", (F.col("comp") == F.col("main")).alias("inside"), "id", "n", "comp")
+        open_keys = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("size").alias("size"), F.max_by("comp", F.struct("size", "comp")).alias("main")).where("comps > 1").drop("comps")
+        left = labelled.join(open_keys, "key").select("key", (F.col("comp") == F.col("main")).alias("inside"), "id", "n", "comp", (F.col("size") > BLOCK).alias("wide"))
+        left = scratch.write_table(left, "near-open")
+        wide = left.where("wide").select("id", "n", "comp").distinct()
+        left = left.where("not wide").drop("wide")
+        if nodes := wide.count():
+            if rare is None:
+                # later rounds have no other nodes in such buckets
+                wide_texts = texts.join(wide.select("id").distinct(), "id", "left_semi")
+                rare = scratch.write_table(prefixes(wide_texts, words, percent, *common_shingles(wide_texts, words, nodes)), "near-rare")
+            left = scratch.write_table(left.unionByName(tiles(rare.join(wide, "id"))), "near-blocks")
         open_texts = texts.join(left.select("id").distinct(), "id", "left_semi")
         left = left.join(sketches.join(small_sets(open_texts, words), "id"), "id").select("key", "inside", "id", "n", "comp", "sketch", "small")
         found = scratch.write_table(left.repartition("key").sortWithinPartitions("key", "inside").mapInArrow(likely(most, percent, width), "a long, b long, total long"), "near-likely")

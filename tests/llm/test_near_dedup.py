@@ -99,3 +99,58 @@ def test_signatures_estimate_similarity():
 def test_shingle_sets_count_words():
     texts = ["A b  c\na b", " lone ", "", None, "x x x x"]
     assert [len(s) for s in N.shingle_sets(pa.array(texts), 2)] == [len(shingles(t)) for t in texts]
+
+
+def templates(n=240):
+    """Texts that share a template and aren't near each other, a few that are, and some whose own words are few."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    template, few = [word() for _ in range(102)], [word() for _ in range(9)]
+    rows = [(k, " ".join(template + [word() for _ in range(18)])) for k in range(n)]
+    rows += [(1000 + k, rows[k][1].rsplit(" ", r.randint(1, 6))[0]) for k in range(0, n, 8)]
+    return rows + [(2000 + k, " ".join(template + [r.choice(few) for _ in range(30)])) for k in range(n // 4)]
+
+
+def test_no_task_holds_a_whole_template(spark, monkeypatch):
+    """All but a few of the texts stay apart and share buckets: pairs are found in blocks of bounded size."""
+    block, likely = 16, N.likely
+
+    def counted(*args):
+        run = likely(*args)
+
+        def checked(batches):
+            sizes = {}
+
+            def seen():
+                for batch in batches:
+                    for key in zip(batch.column("key").to_pylist(), batch.column("inside").to_pylist(), strict=True):
+                        sizes[key] = sizes.get(key, 0) + 1
+                        if sizes[key] > 3 * block:
+                            raise ValueError("a block of too many nodes")
+                    yield batch
+
+            return run(seen())
+
+        return checked
+
+    monkeypatch.setattr(N, "likely", counted)
+    monkeypatch.setattr(N, "BLOCK", block, raising=False)
+    rows = templates()
+    got = {r.doc_id: r.component_id for r in N.cluster(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    want = brute(rows)
+    assert got == want and len(set(want.values())) > 200 and any(want[d] != d for d in want)
+
+
+def test_similar_sets_share_a_lead():
+    r = np.random.default_rng(4)
+    words = r.integers(0, 2**63, 60).astype(np.uint64)
+    common = np.sort(words[:30])
+    counts = np.arange(2, 32)
+    for _ in range(3000):
+        a = np.sort(r.choice(words, r.integers(1, 40), replace=False))
+        b = np.unique(np.concatenate([r.choice(a, max(1, len(a) - r.integers(0, 3)), replace=False), r.choice(words, r.integers(0, 3))]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            small, large = sorted([a, b], key=len)
+            own, leads = N.prefix(small, 80, common, counts)
+            assert np.isin(own[:leads], N.prefix(large, 80, common, counts)[0]).any()
