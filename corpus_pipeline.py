@@ -11,7 +11,10 @@ from loomline.llm import byte_bpe, exact_dedup, langid, mixing, near_dedup, scra
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known stay; those without a letter, or without text, go."""
+    """Documents that get a language stay; those called und, as they have no letter or no text, go.
+
+    Where no document has a label there are no languages, and documents with letters stay.
+    """
     with scratch.owner(spark, "pipeline"):
         return langid.keep_known(docs, langid.train(docs))
 

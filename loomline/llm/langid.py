@@ -159,16 +159,21 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, n_letters long").withColumnRenamed("key", id_col)
 
 
-def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: those that ``predict`` calls ``und`` go."""
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language by ``predict``: those that it calls ``und`` go, and
+    those it scores under ``least`` (at 0 none: short texts score as low as texts in no known language).
+
+    Without prototypes nothing can be told of languages, and texts with letters stay.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_vectors(len(next(iter(prototypes.values()))) if prototypes else DIMENSIONS)
         for batch in by_bytes(batches, text_col, 2 << 20):
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                known = classify(values(part.column(text_col)), prototypes, letters)[2]
-                yield part.filter(pa.array(known))
+                lang, score, _, n = classify(values(part.column(text_col)), prototypes, letters)
+                kept = (np.array(lang, object) != UNKNOWN) & (score >= least) if prototypes else n > 0
+                yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
 

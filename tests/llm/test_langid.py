@@ -43,3 +43,12 @@ def test_cases_and_gaps_agree():
     letters = L.letter_vectors()
     (a, b), _ = L.profiles([b"Some Words", b"sOME  - wORDS!"], letters)
     assert np.array_equal(a, b)
+
+
+def test_stage_goes_by_the_verdict(docs, spark):
+    lettered = {1, 2, 3, 7, 8, 9, 11, 12}
+    assert {r.doc_id for r in L.keep_known(docs, {}).collect()} == lettered
+    model = L.train(corpus(spark))
+    score = {r.doc_id: r.score for r in L.predict(docs, model).collect()}
+    kept = {r.doc_id for r in L.keep_known(docs, model, least=0.1).collect()}
+    assert kept == {d for d, x in score.items() if x >= 0.1} and {1, 2, 3} <= kept < lettered
