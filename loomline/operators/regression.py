@@ -165,8 +165,10 @@ def panel_lp(df: DataFrame, entity: str, time: str, y: str, x: str, hs: list[int
     s = _no_constant(d, xs, x)
     if se == "cluster":
         return estimate(s, ["h"], "cluster", cluster=entity, alpha=alpha)
-    bandwidth = F.greatest(F.lit(1), F.round(4 * F.pow(F.col("n") / 100, F.lit(2 / 9))))
-    return estimate(s, ["h"], "dk", time, most=20, bandwidth=bandwidth, alpha=alpha)
+    width = lambda n: F.greatest(F.lit(1), F.round(4 * F.pow(n / 100, F.lit(2 / 9))))
+    # the widest of all horizons, from one count of the rows
+    most = d.groupBy("h").count().agg(F.max(width(F.col("count")))).first()[0]
+    return estimate(s, ["h"], "dk", time, most=int(most or 1), bandwidth=width(F.col("n")), alpha=alpha)
 
 
 def _no_constant(d: DataFrame, xs: list[str], x: str) -> DataFrame:

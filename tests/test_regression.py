@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from loomline.operators import did, regression, series
@@ -144,3 +145,20 @@ def test_imputation_recovers_the_effect(spark):
     assert abs(did.switchers(df).first().did - 3) < 1e-9
     lp = {r.h: r.beta for r in regression.lp_did(df, "unit", "time", "y", "treat_time", [-2, -1, 0, 1]).collect()}
     assert abs(lp[0] - 3) < 1e-9 and abs(lp[1] - 3) < 1e-9 and lp[-1] == 0 and abs(lp[-2]) < 1e-9
+
+
+def test_driscoll_kraay_has_no_cap_on_lags(spark):
+    n, t = 4000, 45
+    r = np.random.default_rng(2)
+    common = np.cumsum(r.standard_normal(t)) / 3
+    x = r.standard_normal((n, t)) + common * r.standard_normal((n, 1))
+    y = np.cumsum(0.2 * x + r.standard_normal((n, t)) + common * r.standard_normal((n, 1)), axis=1)
+    table = pa.table({"code": np.repeat(np.arange(n), t), "t": np.tile(np.arange(t), n), "y": y.ravel(), "x": x.ravel()})
+    got = regression.panel_lp(spark.createDataFrame(table), "code", "t", "y", "x", [0], 1, se="dk").first()
+    both = lambda a: a - a.mean(0) - a.mean(1, keepdims=True) + a.mean()
+    dy, *X = (both(a) for a in (y[:, 1:] - y[:, :-1], x[:, 1:], x[:, :-1], y[:, :-1]))
+    b, inv, u = ols(dy.ravel(), np.stack([a.ravel() for a in X], axis=1))
+    q = sum(w * a for w, a in zip(inv[0], X)) * u.reshape(dy.shape)
+    lags = round(4 * (got.n / 100) ** (2 / 9))
+    assert lags > 20 and np.isclose(got.beta, b[0])
+    assert np.isclose(got.se, np.sqrt(max(0, hac(q.sum(0)[:, None], lags)[0, 0])), rtol=1e-6)
