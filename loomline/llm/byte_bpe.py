@@ -31,6 +31,18 @@ from .batches import by_bytes, values
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CUT = re.compile(r" (?=\S)")
 ODD = re.compile(r" (?:\s|\Z)")
+#: Fixed values. Code points that became letters or numbers after version 16 of Unicode, whose classes the
+#: ranks' own library has: to the pattern they are neither, whatever version ``regex`` has.
+LATER = re.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959"
+    "\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
+    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+#: A code point without a class, of which runs match as LATER's have to.
+UNASSIGNED = "\u0378"
 #: Marks that, after letters, are a match of the pattern by themselves at a piece's end.
 MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_{|}~")
 
@@ -79,7 +91,7 @@ class ByteBPE:
         text = lambda b: "".join(chars[x] for x in b)
         merges = [(text(t[:i]), text(t[i:])) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.tokenizer = Tokenizer(models.BPE(vocab={text(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.find = regex.compile(pattern or public_tokenizers.PATTERN).findall
+        self.pattern = regex.compile(pattern or public_tokenizers.PATTERN)
         #: The reverse byte table: id -> bytes.
         back = {c: b for b, c in enumerate(chars)}
         self.table = {i: bytes(back[c] for c in t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
@@ -89,6 +101,12 @@ class ByteBPE:
         digits = [f"{i},".encode() for i in range(size)]
         self.digits = np.frombuffer(b"".join(d.ljust(8, b"\0") for d in digits), np.uint8).reshape(size, 8)[:, : max(map(len, digits))]
 
+    def find(self, text: str) -> list[str]:
+        """The pattern's matches in a text."""
+        if text.isascii() or not LATER.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(LATER.sub(UNASSIGNED, text))]
+
     def _encode_pieces(self, cut: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that are cut in pieces, flat, and where each text's begin."""
         at = cut.offsets.to_numpy().astype(np.int64)
@@ -104,9 +122,9 @@ class ByteBPE:
         matches, ends = [], [0]
         for lead, pieces in ((" ", later), ("", first)):
             for p in pieces:
-                if p.isalpha():  # one match of the pattern
+                if p.isalpha() and (p.isascii() or not LATER.search(p)):  # one match of the pattern
                     matches.append(known.setdefault(lead + p, len(known)))
-                elif p[-1:] in MARKS and p[:-1].isalpha():
+                elif p[-1:] in MARKS and p[:-1].isalpha() and (p.isascii() or not LATER.search(p)):
                     matches.append(known.setdefault(lead + p[:-1], len(known)))
                     matches.append(known.setdefault(p[-1], len(known)))
                 else:

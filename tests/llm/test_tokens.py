@@ -33,6 +33,23 @@ def test_byte_bpe_is_tiktoken(texts):
         assert codec.decimal(ids) == ",".join(map(str, ids.tolist())).encode()
 
 
+def test_every_code_point_is_tiktokens():
+    """Alone between spaces, and before 's, which tells whether the pattern takes it for a letter or number."""
+    codec, chars = B.codec(), [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for end in ("", "'s"):
+        texts = [" ".join(c + end for c in chars[k : k + 1024]) for k in range(0, len(chars), 1024)]
+        for text, ids, want in zip(texts, codec.encode_texts(texts), TIKTOKEN.encode_ordinary_batch(texts), strict=True):
+            assert ids.tolist() == want, (hex(ord(text[0])), end)
+
+
+def test_decoding_nulls_repeats_and_cut_sequences(spark):
+    (ids,) = ([int(i) for i in x] for x in B.codec().encode_texts(["é🙂"]))
+    rows = [(1, None), (1, None), (None, ids), (2, ids[:-1]), (3, [])]
+    got = sorted((str(r.doc_id), bytes(r.data), r.text) for r in B.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect())
+    cut = B.codec().decode_ids(np.array(ids[:-1]))
+    assert got == sorted([("1", b"", ""), ("1", b"", ""), ("None", "é🙂".encode(), "é🙂"), ("2", cut, cut.decode(errors="replace")), ("3", b"", "")])
+
+
 def test_runs_merge_like_tiktoken():
     for text in ("a" * 3000, " " * 2000 + "x", "ab" * 1500, "\n" * 999 + " x", "é" * 900, "=" * 70 + " -" * 50, "0" * 1001):
         assert next(iter(B.codec().encode_texts([text]))).tolist() == TIKTOKEN.encode_ordinary(text)
