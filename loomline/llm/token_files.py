@@ -193,8 +193,12 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
-    """Read the shards back: one row per document with doc_id, start (ids before it in all shards),
-    n_tokens and ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
+    """Read the shards back, each in a task of its own: one row per document with doc_id, start (ids before it
+    in all shards), n_tokens and ids_crc32 (of its ids as little-endian unsigned 32-bit integers).
+
+    Null ids, repeated ids and documents of the end id alone come back as they were written; a
+    manifest without shards gives an empty result. Other columns of the manifest aren't read.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +220,9 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                             crcs.append(crc)
                         yield pa.RecordBatch.from_arrays([doc, pc.add(start, offset), n, pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards = manifest.select("path", "docs_path", "offset")
-    return shards.repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a given number, as the manifest's few bytes say nothing of the files' size
+    shards = manifest.select("shard", "path", "docs_path", "offset")
+    return shards.repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

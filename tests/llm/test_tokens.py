@@ -95,6 +95,20 @@ def test_files_read_back(spark, docs, no_docs):
     assert T.read_documents(T.write(no_docs, scratch.new_path(spark, "t"))).count() == 0
 
 
+def test_each_shard_is_read_by_its_own_task(spark):
+    rows = [(i if i % 50 else None, f"word{i} " * (i % 7)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = T.write(docs, scratch.new_path(spark, "t"), length=64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = T.read_documents(manifest)
+    assert manifest.count() > 1 and back.rdd.getNumPartitions() == manifest.count()
+    ids = [r.doc_id for r in sorted(back.collect(), key=lambda r: r.start)]
+    assert ids == [None] * 40 + [i for i in range(2000) if i % 50]
+
+
 def test_sequences_are_views(tmp_path):
     ids = np.random.default_rng(1).integers(0, 49_000, 100_000).astype(np.uint32)
     with open(tmp_path / "a.arrow", "wb") as f:
