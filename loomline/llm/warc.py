@@ -146,7 +146,8 @@ def read_headers(archives: DataFrame, check: bool = True) -> DataFrame:
                 if rows:
                     yield _headers(rows)
 
-    return archives.select("path").repartition(F.col("path")).mapInArrow(run, HEADER)
+    # a given number of tasks, as the paths' few bytes say nothing of the archives' size
+    return archives.select("path").repartitionByRange(max(1, archives.count()), "path").mapInArrow(run, HEADER)
 
 
 def _headers(rows: list[tuple]) -> pa.RecordBatch:
@@ -176,8 +177,11 @@ def resolve(headers: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return both.select(*headers.columns, own.alias("is_original"), F.col("o.page_id").alias("o_page"), F.col("o.url").alias("o_url"), F.col("o.record_id").alias("o_record"))
 
 
-def deduplicate(headers: DataFrame, folder: str, least_bytes: int = 1000) -> DataFrame:
-    """Write the archives of ``headers`` again with repeated payloads as revisits. Returns (path, records)."""
+def deduplicate(headers: DataFrame, folder: str, least_bytes: int = 1000, piece: int = 32 << 20) -> DataFrame:
+    """Write the archives of ``headers`` again with repeated payloads as revisits. Returns (path, records).
+
+    A task writes a range of records, about ``piece`` bytes, whatever archives they come from.
+    """
     decided = resolve(headers, least_bytes).select("path", "at", "length", "is_original", "o_page", "o_url", "o_record")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +211,8 @@ def deduplicate(headers: DataFrame, folder: str, least_bytes: int = 1000) -> Dat
             archive.close()
             yield pa.RecordBatch.from_pydict({"path": [archive.path], "records": [archive.n]})
 
-    return scratch.write_table(decided.repartition("path").sortWithinPartitions("path", "at").mapInArrow(run, "path string, records long"), "warc-dedup")
+    total, files = headers.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("path")).first()
+    return scratch.write_table(decided.repartitionByRange(max(1, files, -(-total // piece)), "path", "at").sortWithinPartitions("path", "at").mapInArrow(run, "path string, records long"), "warc-dedup")
 
 
 def archive(pages: DataFrame, folder: str, least_bytes: int = 1000, **columns) -> DataFrame:

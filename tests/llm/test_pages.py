@@ -73,6 +73,21 @@ def test_archives_read_back(pages, spark):
     assert warc.archive(spark.createDataFrame([], SCHEMA), folder).count() == 0
 
 
+def test_archives_are_split_over_tasks(spark):
+    """Long and repeated payloads and null ids, in more output archives than input ones."""
+    rows = [(i if i else None, f"u{i}", f"<p>{i % 40}</p>" + "text " * 400, None, None, None) for i in range(200)] + [(900, "u", "<b>x" * 500_000, None, None, None)]
+    raw = warc.write_responses(spark.createDataFrame(rows, SCHEMA).coalesce(1), scratch.new_path(spark, "warc-test"))
+    headers = scratch.write_table(warc.read_headers(raw), "h")
+    out = warc.deduplicate(headers, scratch.new_path(spark, "warc-test"), piece=1000)
+    got = warc.read_headers(out).collect()
+    assert raw.count() == 1 and out.count() > 3 and len(got) == len(rows)
+    last = {i % 40: i for i in range(200)}
+    for g in got:
+        if g.page_id != 900:
+            i = g.page_id or 0
+            assert (g.record_type, g.refers_to) == (("response", None) if last[i % 40] == i else ("revisit", last[i % 40]))
+
+
 def test_records_are_reachable_by_offset(pages, spark):
     import gzip
 
