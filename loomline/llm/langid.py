@@ -1,9 +1,9 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. An n-gram's vector binds its letters' vectors, permuted
-by their place, by multiplication. A document's vector bundles its n-grams' by addition; a language's
-prototype bundles its training documents' vectors, each scaled to length one. A document has the
-language whose prototype has the largest cosine with its vector.
+Each letter of any script has a random vector of +1 and -1, drawn from its code point. An n-gram's vector
+binds its letters' vectors, permuted by their place, by multiplication. A document's vector bundles its
+n-grams' by addition; a language's prototype bundles its training documents' vectors, each scaled to
+length one. A document has the language whose prototype has the largest cosine with its vector.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from .batches import by_bytes, values
 
 DIMENSIONS = 1024
 N = 3
-LETTERS = 64
+#: Bits of a letter's code point in an n-gram's code.
+BITS = 21
+#: N-grams that are bound at a time, and letters whose vectors a process keeps.
+CHUNK, KEPT = 4096, 20_000
 #: Training rows of a language at most; rows are chosen by a hash of their id.
 MOST_TRAINING = 3000
 BLOCK = 256
@@ -27,18 +30,9 @@ UNKNOWN = "und"
 
 
 def letter_table() -> np.ndarray:
-    """Code of each code point: 0 for what isn't a letter, the same for both cases, 1 to LETTERS - 1.
-
-    a-z and the letters of Latin-1 have codes of their own; all others share the rest by their number.
-    """
-    table = np.zeros(0x110000, np.uint8)
-    own = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyzßàáâäæçèéêëìíîïñòóôöøùúûü", 1)}
-    for cp in range(0x110000):
-        c = chr(cp)
-        if c.isalpha():
-            low = c.lower()[0]
-            table[cp] = own.get(low) or len(own) + 1 + ord(low) % (LETTERS - 1 - len(own))
-    return table
+    """Code of each code point: 0 for what isn't a letter, else the lower-case letter's code point."""
+    chars = (chr(cp) for cp in range(0x110000))
+    return np.fromiter((ord(c.lower()[0]) if c.isalpha() else 0 for c in chars), np.uint32, 0x110000)
 
 
 _TABLE: list[np.ndarray] = []
@@ -50,44 +44,61 @@ def _table() -> np.ndarray:
     return _TABLE[0]
 
 
-def letter_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Row 0, for gaps between words, takes part like a letter."""
-    return np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (LETTERS, dimensions))
+class Letters:
+    """The vectors of letters by code point; that of 0, for gaps between words, takes part like a letter."""
+
+    def __init__(self, dimensions: int = DIMENSIONS):
+        self.dimensions = dimensions
+        self.known: dict[int, np.ndarray] = {}
+
+    def vector(self, code: int) -> np.ndarray:
+        if code not in self.known:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            self.known[code] = np.random.default_rng([7, code]).choice(np.array([-1, 1], np.int8), self.dimensions)
+        return self.known[code]
+
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        return np.array([self.vector(int(c)) for c in codes], np.int8).reshape(-1, self.dimensions)
 
 
-def ngram_vectors(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Bound vectors of n-gram codes (base LETTERS digits, first letter leading)."""
-    out = np.ones((len(codes), letters.shape[1]), np.int8)
+def ngram_vectors(codes: np.ndarray, letters: Letters) -> np.ndarray:
+    """Bound vectors of n-gram codes (BITS a letter, first letter leading)."""
+    out = np.ones((len(codes), letters.dimensions), np.int8)
     for place in range(N):
-        digit = codes // LETTERS**place % LETTERS
-        out *= np.roll(letters, place, axis=1)[digit]
+        own, which = np.unique(codes >> np.uint64(BITS * place) & np.uint64((1 << BITS) - 1), return_inverse=True)
+        out *= np.roll(letters.vectors(own), place, axis=1)[which]
     return out.astype(np.float32)
 
 
-def profiles(texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def profiles(texts: list[bytes], letters: Letters) -> tuple[np.ndarray, np.ndarray]:
     """(vectors, number of letters) of texts. Whole texts count, a block of them at a time."""
-    table, out, n = _table(), np.zeros((len(texts), letters.shape[1]), np.float32), np.zeros(len(texts), np.int64)
-    keys = []
+    table, out, n = _table(), np.zeros((len(texts), letters.dimensions), np.float32), np.zeros(len(texts), np.int64)
+    rows, codes, counts = [], [], []
     for j, text in enumerate(texts):
         points = table[np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)]
         n[j] = np.count_nonzero(points)
         if not n[j]:
             continue
         # a run of other characters is one gap; one stands at either end
-        points = np.concatenate([[0], points, [0]]).astype(np.uint32)
+        points = np.concatenate([[0], points, [0]]).astype(np.uint64)
         points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
-        code = points[:-2] * LETTERS**2 + points[1:-1] * LETTERS + points[2:]
-        keys.append(code | np.uint32(j << 18))
-    if not keys:
+        code, count = np.unique(points[:-2] << np.uint64(2 * BITS) | points[1:-1] << np.uint64(BITS) | points[2:], return_counts=True)
+        rows.append(np.full(len(code), j))
+        codes.append(code)
+        counts.append(count)
+    if not rows:
         return out, n
-    key = np.sort(np.concatenate(keys))
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.concatenate([first, [len(key)]]))
-    row, code = key[first] >> 18, key[first] & ((1 << 18) - 1)
-    codes, column = np.unique(code, return_inverse=True)
-    dense = np.zeros((len(texts), len(codes)), np.float32)
-    dense[row, column] = count
-    return dense @ ngram_vectors(codes.astype(np.int64), letters), n
+    row, count = np.concatenate(rows), np.concatenate(counts)
+    own, column = np.unique(np.concatenate(codes), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    edges = np.searchsorted(column[order], np.arange(0, len(own) + CHUNK, CHUNK))
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        at = order[lo:hi]
+        dense = np.zeros((len(texts), min(CHUNK, len(own) - k * CHUNK)), np.float32)
+        dense[row[at], column[at] - k * CHUNK] = count[at]
+        out += dense @ ngram_vectors(own[k * CHUNK : (k + 1) * CHUNK], letters)
+    return out, n
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +120,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < share * F.lit(1_000_003)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, sums = letter_vectors(dimensions), {}
+        letters, sums = Letters(dimensions), {}
         for batch in _blocks(batches):
             vectors, n = profiles(values(batch.column("text")), letters)
             lang = np.array(batch.column("lang").to_pylist(), object)
@@ -128,7 +139,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return dict(sorted(out.items()))
 
 
-def classify(texts: list[bytes], prototypes: dict[str, np.ndarray], letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def classify(texts: list[bytes], prototypes: dict[str, np.ndarray], letters: Letters) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(languages, scores, whether each is known, number of letters) of texts."""
     vectors, n = profiles(texts, letters)
     names = list(prototypes)
@@ -150,7 +161,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_vectors(len(next(iter(prototypes.values()))) if prototypes else DIMENSIONS)
+        letters = Letters(len(next(iter(prototypes.values()))) if prototypes else DIMENSIONS)
         for batch in _blocks(batches):
             lang, score, _, n = classify(values(batch.column("text")), prototypes, letters)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lang, pa.string()), pa.array(score), pa.array(n)], names=["key", "lang_pred", "score", "n_letters"])
@@ -163,11 +174,12 @@ def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str
     """The rows of ``docs``, all columns, whose text has a language by ``predict``: those that it calls ``und`` go, and
     those it scores under ``least`` (at 0 none: short texts score as low as texts in no known language).
 
-    Without prototypes nothing can be told of languages, and texts with letters stay.
+    Without prototypes nothing can be told of languages, and texts with letters stay. Null and empty texts
+    and those without letters go; rows that repeat are judged each; an empty table stays empty.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_vectors(len(next(iter(prototypes.values()))) if prototypes else DIMENSIONS)
+        letters = Letters(len(next(iter(prototypes.values()))) if prototypes else DIMENSIONS)
         for batch in by_bytes(batches, text_col, 2 << 20):
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
