@@ -2,10 +2,13 @@
 
 1. Each task puts its rows' normalised texts in an open-addressing table, which compares complete
    contents, and keeps one local representative per content. The tagged rows are written.
-2. Only representatives are shuffled, by digest: a content arrives once per task of step 1 at most,
-   however many copies it has. Each task then dedups its bucket by Grace hashing: what doesn't fit
-   is dealt out to spill files by further bits of the hash, again and again until a file fits.
-3. The verdicts, one per representative, are joined back to the tagged rows on the representative.
+2. Only representatives are shuffled, by digest: a content arrives once per window of step 1 at most,
+   however many copies it has. Each task folds its bucket into a table as it reads: a row of a content
+   that is there is told its leader and forgotten; once the table is full, rows of other contents are
+   dealt out to spill files by further bits of the hash, and each file goes the same way again. A
+   digest with many representatives is folded in shares by several tasks first.
+3. The smallest id and the number of rows of each leader are aggregated, and these verdicts joined back
+   to the tagged rows on the representative.
 
 Spill files are in the shared folder, named by attempt, and deleted as they are read: a lost executor's
 task starts again from the shuffle.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,9 @@ from .batches import by_bytes, values
 
 SPACE = b" \t\n\x0b\x0c\r"
 TAGGED = "id long, rep long, is_rep boolean, sha string, content binary, n long"
-VERDICT = "rep long, keep_id long, group_size long, wins boolean"
+MEMBER = "rep long, lead long, id long, n long"
+#: Representatives of one digest that one task folds.
+HOT = 1000
 
 
 def normalise(text: bytes) -> bytes:
@@ -61,6 +67,10 @@ class ContentTable:
             i = (i + 1) & mask
         return ~i
 
+    def find(self, h: int, content: bytes) -> int:
+        """The index of the content's entry, negative if it has none."""
+        return self._probe(h, content)
+
     def put(self, h: int, content: bytes) -> tuple[int, bool]:
         """(index of the content's entry, whether it's new)."""
         if (k := self._probe(h, content)) >= 0:
@@ -132,107 +142,112 @@ def tag(limit: int):
 SPILL = pa.schema([("rep", pa.int64()), ("id", pa.int64()), ("sha", pa.string()), ("content", pa.binary()), ("n", pa.int64())])
 
 
-def _verdicts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """One bucket that fits: rows (rep, id, sha, content, n) -> VERDICT."""
-    table, members = ContentTable(), []
-    for j, (_, _, sha, content, _) in enumerate(rows):
-        k, new = table.put(int(sha[:16], 16), content)
-        if new:
-            members.append([])
-        members[k].append(j)
-    out: list[tuple] = []
-    for group in members:
-        win = group[0]
-        for j in group:
-            if _less(rows[j][1], rows[win][1]):
-                win = j
-        size = sum(rows[j][4] for j in group)
-        out += [(rows[j][0], rows[win][1], size, j == win) for j in group]
-    for at in range(0, len(out), 10_000):
-        part = list(zip(*out[at : at + 10_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.bool_())], names=["rep", "keep_id", "group_size", "wins"])
+def grace(folder: str, limit: int, fan_out: int = 16):
+    """mapInArrow: representatives -> MEMBER by Grace hash dedup with spill files under ``folder``.
 
+    ``lead`` is the first representative met of the same content. A task holds contents of ``limit`` bytes.
+    """
 
-def grace(folder: str, limit: int, fan_out: int = 16):
-    """mapInArrow: representatives -> VERDICT by Grace hash dedup with spill files under ``folder``."""
-
-    def dedup(stream: Iterable[tuple], level: int) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        stream = iter(stream)
-        for row in stream:
-            held.append(row)
-            size += len(row[3]) + 200
-            # beyond the digest's bits only equal contents are left, or digests that collide
-            if size > limit and level < 14:
-                break
-        else:
-            yield from _verdicts(held)
-            return
-        from itertools import chain
+    def dedup(stream: Iterable[tuple], level: int) -> Iterator[tuple]:
+        table, leads, waiting = ContentTable(), [], 0
+        sinks: list = []
+        parts: list[list] = [[] for _ in range(fan_out)]
+
+        def write():
+            nonlocal waiting
+            if not sinks:
+                fs.create_dir(own, recursive=True)
+                sinks.extend(fs.open_output_stream(f"{own}/{b}") for b in range(fan_out))
+                files.extend(pa.ipc.new_stream(x, SPILL) for x in sinks)
+            for f, p in zip(files, parts, strict=True):
+                if p:
+                    f.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p, strict=True), SPILL.types, strict=True)], schema=SPILL))
+                    p.clear()
+            waiting = 0
 
+        files: list = []
         fs, top = scratch.open_fs(folder)
         own = f"{top}/{uuid.uuid4().hex}"
-        fs.create_dir(own, recursive=True)
         try:
-            names = [f"{own}/{b}" for b in range(fan_out)]
-            sinks = [fs.open_output_stream(x) for x in names]
-            files = [pa.ipc.new_stream(s, SPILL) for s in sinks]
-            parts: list[list] = [[] for _ in names]
-            waiting = 0
-
-            def write():
-                for f, p in zip(files, parts, strict=True):
-                    if p:
-                        f.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p, strict=True), SPILL.types, strict=True)], schema=SPILL))
-                        p.clear()
-
-            for row in chain(held, stream):
-                # the partition used other bits of the digest: levels go on from its end
-                parts[int(row[2][63 - level], 16) % fan_out].append(row)
-                waiting += len(row[3]) + 200
-                if waiting > limit // 4:
-                    write()
-                    waiting = 0
-            held.clear()
-            write()
-            for f, s in zip(files, sinks, strict=True):
+            for row in stream:
+                rep, doc, sha, content, n = row
+                h = int(sha[:16], 16)
+                if (k := table.find(h, content)) >= 0:
+                    yield rep, leads[k], doc, n
+                elif table.bytes <= limit:
+                    table.put(h, content)
+                    leads.append(rep)
+                    yield rep, rep, doc, n
+                else:
+                    # from the digest's end; beyond its bits the table alone makes progress, a content at least each time
+                    parts[int(sha[max(16, 63 - level)], 16) % fan_out].append(row)
+                    waiting += len(content) + 200
+                    if waiting > limit // 4:
+                        write()
+            table = leads = None
+            if waiting:
+                write()
+            for f in (*files, *sinks):
                 f.close()
-                s.close()
-            for name in names:
-                with fs.open_input_stream(name) as source:
-                    yield from dedup((r for b in pa.ipc.open_stream(source) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), level + 1)
-                fs.delete_file(name)
+            for b in range(len(files)):
+                with fs.open_input_stream(f"{own}/{b}") as source:
+                    yield from dedup((r for x in pa.ipc.open_stream(source) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)), level + 1)
+                fs.delete_file(f"{own}/{b}")
         finally:
-            fs.delete_dir(own)
+            if files:
+                fs.delete_dir(own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in by_bytes(batches, "content") for r in zip(*(b.column(c).to_pylist() for c in SPILL.names), strict=True))
-        yield from dedup(rows, 0)
+        members = dedup(rows, 0)
+        while part := list(islice(members, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names=["rep", "lead", "id", "n"])
 
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_mb: int = 64) -> DataFrame:
+def members(reps: DataFrame, limit: int, hot: int = HOT) -> DataFrame:
+    """MEMBER of every representative (rep, id, sha, content, n), with one lead for all of a content."""
+    fold = grace(scratch.new_path(reps.sparkSession, "dedup-spill"), limit)
+    counts = scratch.write_table(reps.groupBy("sha").agg(F.count("*").alias("reps")).where(F.col("reps") > hot), "dedup-hot")
+    n_hot = counts.count()
+    if not n_hot:
+        return scratch.write_table(reps.repartition("sha").mapInArrow(fold, MEMBER), "dedup-members")
+    # a hundredth of a thousandth of the rows at most; beyond 100,000 digests (7 MB) it isn't broadcast
+    marked = reps.join(F.broadcast(counts) if n_hot <= 100_000 else counts, "sha", "left")
+    many = marked.where("reps is not null")
+    share = F.pmod(F.xxhash64("rep"), F.ceil(F.col("reps") / hot))
+    first = scratch.write_table(many.withColumn("share", share).repartition("sha", "share").drop("share", "reps").select(*SPILL.names).mapInArrow(fold, MEMBER), "dedup-shares")
+    leaders = many.join(first.where("rep = lead").select("rep"), "rep", "left_semi").select(*SPILL.names)
+    rest = marked.where("reps is null").select(*SPILL.names)
+    second = scratch.write_table(rest.unionByName(leaders).repartition("sha").mapInArrow(fold, MEMBER), "dedup-members")
+    led = second.select(F.col("rep").alias("lead"), F.col("lead").alias("top"))
+    return second.join(first.select("rep"), "rep", "left_anti").unionByName(first.join(led, "lead").select("rep", F.col("top").alias("lead"), "id", "n"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_mb: float = 64, hot: int = HOT) -> DataFrame:
     """Which rows stay when of equal texts only the one with the smallest id does.
 
     Texts are equal when identical after each run of ASCII white space is replaced by one space. A
     null text counts as empty. Returns one row per input row: the id column, keep_id, group_size,
     kept, text_sha256 (of the normalised text). Of rows that repeat id and text exactly one is kept.
     Null ids come after all others. Other columns of the input aren't carried. An empty table gives an
-    empty result. ``memory_mb`` bounds the contents that a task holds, unless one text is larger.
+    empty result. ``memory_mb`` bounds the contents that a task holds, unless one text is larger; a digest
+    with more than ``hot`` representatives is folded in shares first.
     """
-    limit = memory_mb << 20
+    limit = int(memory_mb * 2**20)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tagged = scratch.write_table(rows.mapInArrow(tag(limit // 2), TAGGED), "dedup-tagged")
-    reps = tagged.where("is_rep").select("rep", "id", "sha", "content", "n")
-    spill = scratch.new_path(docs.sparkSession, "dedup-spill")
-    verdicts = reps.repartition("sha").mapInArrow(grace(spill, limit), VERDICT)
+    found = members(tagged.where("is_rep").select(*SPILL.names), limit, hot)
+    best = found.groupBy("lead").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rep")).alias("best"), F.sum("n").alias("group_size"))
+    verdicts = found.select("rep", "lead").join(best, "lead").select("rep", F.col("best.id").alias("keep_id"), "group_size", (F.col("rep") == F.col("best.rep")).alias("wins"))
     out = tagged.select("id", "rep", "is_rep", "sha").join(verdicts, "rep")
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("is_rep") & F.col("wins")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``dedup`` keeps."""
+    """The rows of ``docs``, all columns, that ``dedup`` keeps: nulls, empty texts, repeated rows, null ids and an
+    empty table as there. Of rows with the same id and the same normalised text any one stays."""
     name = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
     kept = dedup(docs, id_col, text_col, **options).where("kept").select(name.alias("__id"), F.col("text_sha256").alias("__own"))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)

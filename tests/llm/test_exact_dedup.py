@@ -50,13 +50,36 @@ def test_table_compares_contents_whatever_the_hash():
     assert [k for k, _ in got] == [i % 40 for i in range(100)] and sum(new for _, new in got) == 40
 
 
-def test_spills_and_recursion_give_the_same(spark, tmp_path):
+def test_spills_and_recursion_give_the_same(tmp_path):
     rows = [(i, i % 7, hashlib.sha256(b"%d" % (i % 50)).hexdigest(), b"%d" % (i % 50) * 20, 1) for i in range(300)]
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), X.SPILL.types)], schema=X.SPILL)
-    whole, spilled = ([r for b in grace(f"file://{tmp_path}", limit)([batch]) for r in b.to_pylist()] for limit in (1 << 30, 2000))
-    key = lambda r: r["rep"]
-    assert sorted(whole, key=key) == sorted(spilled, key=key) and len(whole) == 300
-    assert list(tmp_path.iterdir()) == []
+    for limit in (1 << 30, 2000, 1):
+        got = [r for b in grace(f"file://{tmp_path}", limit)([batch]) for r in b.to_pylist()]
+        assert sorted((r["rep"], r["lead"], r["id"], r["n"]) for r in got) == [(i, i % 50, i % 7, 1) for i in range(300)]
+        assert list(tmp_path.iterdir()) == []
+
+
+def test_digests_that_collide_stay_apart(tmp_path):
+    sha = hashlib.sha256(b"").hexdigest()
+    rows = [(i, i, sha, b"%d" % (i % 30), 1) for i in range(90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), X.SPILL.types)], schema=X.SPILL)
+    got = [r for b in grace(f"file://{tmp_path}", 70)([batch]) for r in b.to_pylist()]
+    assert sorted((r["rep"], r["lead"]) for r in got) == [(i, i % 30) for i in range(90)]
+
+
+def test_hot_contents_go_in_shares(spark):
+    """Null ids, many windows and a content with more representatives than one task folds."""
+    rows = [(i if i % 9 else None, "same  text" if i % 3 else f"own {i % 50}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = dedup(docs, memory_mb=0.005, hot=3).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(hashlib.sha256(plain(t).encode()).hexdigest(), []).append(i)
+    least = {k: min((i for i in v if i is not None), default=None) for k, v in groups.items()}
+    assert len(got) == len(rows) and sorted(x.text_sha256 for x in got if x.kept) == sorted(groups)
+    for x in got:
+        assert (x.keep_id, x.group_size) == (least[x.text_sha256], len(groups[x.text_sha256]))
+        assert not x.kept or x.doc_id == x.keep_id
 
 
 def test_small_windows(docs):
