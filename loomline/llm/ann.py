@@ -3,18 +3,19 @@
 Unit vectors are projected on a few random Gaussian directions: the squared projected distance of two
 points at distance d is d^2 times a chi-square variable. Top-level splits, fitted on a bounded sample of
 the projected points, cut the index into cells; a cell is split further by hash where it is too
-full. In each piece a kd-tree yields projected neighbours in order of distance, which are verified on the
-original vectors, until the chi-square test says that a nearer one is unlikely to be left: the next
-projected distance squared is beyond the ``confidence`` quantile times the k-th best distance squared.
-A query first searches its own cell, which bounds its k-th distance, and then the cells within the
-test's radius. Every row is indexed.
+full. In each piece a kd-tree yields projected neighbours, nearest leaves first, which are verified on the
+original vectors, until the chi-square test says that a neighbour nearer than the k-th best by the factor
+``ratio`` is unlikely to be left: the next projected distance squared is beyond the ``confidence`` quantile
+times the k-th best distance squared over ratio squared. A point is verified only if its own projected
+distance is within that. A query first searches its own cell, which bounds its k-th distance, and then
+the cells within the test's radius. Every row is indexed.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-M = 8
+M = 24
+CONFIDENCE = 0.9
 SAMPLE = 20_000
-CELL = 16_384
-LEAF = 128
+#: Vectors of a piece, points of a leaf, and the sample's points that a cell has at least: there are at most SAMPLE / LEAST cells.
+CELL = 8_192
+LEAF = 64
+LEAST = 16
 #: Squared distance that rounding may put between projections of equal vectors.
 SLACK = 1e-12
 
@@ -75,46 +79,59 @@ class KDTree:
                 mid = (hi - lo) // 2
                 self.order[lo:hi] = self.order[lo:hi][np.argpartition(own[:, at], mid)]
                 work += [(lo, lo + mid, me, 0), (lo + mid, hi, me, 1)]
-        self.lows, self.highs = np.array(self.low), np.array(self.high)
-
-    def leaves(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(squared distance of the leaf's box, its points), nearest first."""
-        gap = np.maximum(0, np.maximum(self.lows - q, q - self.highs))
+        at = [j for j, n in enumerate(self.nodes) if not n[2]]
+        at.sort(key=lambda j: self.nodes[j][0])
+        #: Boxes of leaves in order of their points, and where each leaf's begin (with the end).
+        self.low, self.high = np.array([self.low[j] for j in at]), np.array([self.high[j] for j in at])
+        self.starts = np.array([self.nodes[j][0] for j in at] + [len(points)])
+
+    def groups(self, q: np.ndarray, radius: Callable[[], float], first: int = 4) -> Iterator[np.ndarray]:
+        """Points (places in ``order``) of leaves within the radius, nearest leaves first, in growing groups."""
+        gap = np.maximum(0, np.maximum(self.low - q, q - self.high))
         far = (gap * gap).sum(axis=1)
-        heap = [(far[0], 0)]
-        while heap:
-            d, k = heapq.heappop(heap)
-            lo, hi, left, right = self.nodes[k]
-            if left:
-                heapq.heappush(heap, (far[left], left))
-                heapq.heappush(heap, (far[right], right))
-            else:
-                yield d, self.order[lo:hi]
+        order, at, step = np.argsort(far, kind="stable"), 0, first
+        while at < len(order):
+            take = order[at : at + step]
+            take = take[far[take] <= radius()]
+            if not len(take):
+                return
+            yield np.concatenate([np.arange(self.starts[j], self.starts[j + 1]) for j in np.sort(take)])
+            at, step = at + step, 4 * step
 
 
 class Piece:
     """The vectors of one piece of a cell, with their tree."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int):
-        self.ids, self.vectors = ids, vectors
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        self.tree = KDTree(unit(vectors) @ directions(vectors.shape[1], m))
+        points = unit(vectors) @ directions(vectors.shape[1], m)
+        self.tree = KDTree(points)
+        self.ids, self.vectors, self.points = (x[self.tree.order] for x in (ids, vectors, points))
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        #: Rows whose vectors were compared with a query.
+        self.verified = 0
 
     def search(self, qid: int, q: np.ndarray, q_point: np.ndarray, k: int, bound: float, quantile: float) -> list[tuple[float, int]]:
-        """The best (score, id) found; ``bound``: squared distance of the k-th best known so far."""
+        """The best (score, id) found; ``bound``: squared distance of the k-th best known so far, ``quantile``: the
+        test's, over ratio squared."""
         best: list[tuple[float, int]] = []
         q_norm = math.sqrt((q * q).sum())
-        for near, rows in self.tree.leaves(q_point):
-            if near > quantile * bound + SLACK:
-                break
+        radius = lambda: quantile * bound + SLACK
+        for rows in self.tree.groups(q_point, radius):
+            away = self.points[rows] - q_point
+            rows = rows[(np.einsum("ij,ij->i", away, away) <= radius()) & (self.ids[rows] != qid)]
+            self.verified += len(rows)
+            if not len(rows):
+                continue
+            close = self.vectors[rows] @ q / (self.norms[rows] * q_norm)
+            least = np.partition(close, -k)[-k] if len(rows) > k else -np.inf
+            rows = rows[close >= max(least, best[-1][0] if len(best) == k else -np.inf) - 1e-9]
             # row sums, which don't depend on a row's place, so that equal vectors have equal scores
             score = (self.vectors[rows] * q).sum(axis=1) / (self.norms[rows] * q_norm)
-            pick = rows if len(best) < k else rows[score >= best[-1][0]]
-            scores = score if len(best) < k else score[score >= best[-1][0]]
-            if len(pick):
-                best = sorted({*best, *((float(s), int(i)) for s, i in zip(scores, self.ids[pick], strict=True) if i != qid)}, key=lambda x: (-x[0], x[1]))[:k]
-                if len(best) == k:
-                    bound = min(bound, max(0.0, 2 - 2 * best[-1][0]))
+            order = np.lexsort((self.ids[rows], -score))
+            nearest = dict.fromkeys(zip(score[order].tolist(), self.ids[rows][order].tolist(), strict=True))
+            best = sorted({*best, *islice(nearest, k)}, key=lambda x: (-x[0], x[1]))[:k]
+            if len(best) == k:
+                bound = min(bound, max(0.0, 2 - 2 * best[-1][0]))
         return best
 
 
@@ -183,7 +200,7 @@ def _search(k: int, m: int, quantile: float):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", m: int = M, confidence: float = 0.99, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", m: int = M, confidence: float = CONFIDENCE, ratio: float = 1.0, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
     """The ``k`` rows nearest by cosine to each row where ``is_query`` holds, its own id apart.
 
     Returns query_id, rank (from 1), vec_id, score (cosine in double precision of the original vectors),
@@ -198,7 +215,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n, dim = lengths[0]
     own = own.where(F.size("v") == dim)
-    quantile = chi_square_quantile(confidence, m)
+    quantile = chi_square_quantile(confidence, m) / ratio**2
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +225,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     some = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(min(1.0, sample / n) * 1_000_003))
     points = np.array([r[0] for r in some.select("v").mapInArrow(project, "p array<double>").collect()]).reshape(-1, m)
-    tree = splits(points, max(0, math.ceil(math.log2(n / cell))))
+    tree = splits(points, max(0, min(math.ceil(math.log2(n / cell)), math.floor(math.log2(max(1, len(points)) / LEAST)))))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +236,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     index = scratch.write_table(own.mapInArrow(place, "id long, v array<double>, asks boolean, p array<double>, cell long"), "ann-index")
     sides = [f(F.get("p", F.lit(j))).alias(f"{f.__name__}{j}") for f in (F.min, F.max) for j in range(m)]
-    # one row per cell, that is per `cell` vectors
+    # one row per cell, of which there are at most sample / LEAST
     boxes = {r["cell"]: r for r in index.groupBy("cell").agg(F.count("*").alias("n"), *sides).collect()}
     names = np.array(sorted(boxes), np.int64)
     low, high = (np.array([[boxes[c][f"{f}{j}"] for j in range(m)] for c in names]) for f in ("min", "max"))
@@ -232,8 +249,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     queries = index.where("asks").select("id", "v", "p", "cell").dropDuplicates(["id"])
 
     def search(asked: DataFrame) -> DataFrame:
-        both = rows.join(asked.select("cell").distinct(), "cell", "left_semi").unionByName(asked)
-        return scratch.write_table(both.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "query").mapInArrow(_search(k, m, quantile), FOUND), "ann-found")
+        both = rows.join(F.broadcast(asked.select("cell").distinct()), "cell", "left_semi").unionByName(asked)
+        return scratch.write_table(both.repartition(int(chunks.sum()) * 2, "cell", "chunk").sortWithinPartitions("cell", "chunk", "query").mapInArrow(_search(k, m, quantile), FOUND), "ann-found")
 
     every = F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("chunk")
     first = search(queries.select("cell", every, F.lit(True).alias("query"), "id", "v", F.lit(4.0).alias("bound")))
