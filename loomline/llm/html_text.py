@@ -5,16 +5,18 @@ above it, with their classes, ids and roles, and its words; both are hashed and
 bidirectional LSTM in numpy reads a page's whole sequence of blocks and classifies each as main text or not.
 
 It is trained here, on a bounded sample of pages. A path that names its purpose (article, nav, comments,
-...) labels the block; so that the network also learns purposes that the sample lacks, and to go by a
+...) labels the block, and a host's repeated blocks are labelled as what surrounds its texts; so that the network also learns purposes that the sample lacks, and to go by a
 block's neighbours and words where its path names nothing, copies of the sample's pages get further
 sections of known purpose, and lose telling names at random.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,12 +27,17 @@ from pyspark.sql import functions as F
 from .batches import by_bytes, values
 
 #: HTML's elements by their role in cutting blocks.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()) | frozenset(
+    "math semantics mrow mi mn mo ms mtext mspace mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mtd mpadded mphantom menclose".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg annotation annotation-xml".split())
+#: Those of them that don't end the block that they stand in.
+RAW_INLINE = RAW - {"title", "noframes", "xmp"}
 #: Opening one of the first ends an open one of the second.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: Where a quote isn't closed to the page's end, a tag ends at the next >.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PIECE = re.compile(r"[A-Za-z]+")
 
@@ -85,10 +92,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in RAW and not m[1]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if tag not in INLINE:
+            if tag not in RAW_INLINE:
                 flush()
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in RAW_INLINE:
             links = max(0, links + (-1 if m[1] else 1)) if tag == "a" else links
             if tag == "br":
                 held.append(" ")
@@ -101,8 +108,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     pass
             continue
         close(ENDS.get(tag, {"p"}))
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            names = [p.lower() for a in NAMES.findall(m[3]) for p in PIECE.findall(" ".join(a))]
+        marks = m[3] or m[4] or ""
+        if tag not in VOID and not marks.rstrip().endswith("/"):
+            names = [p.lower() for a in NAMES.findall(marks) for p in PIECE.findall(" ".join(a))]
             stack.append((tag, (tag, *names)))
     flush()
     return out
@@ -242,7 +250,10 @@ class Labeller:
                 for k, table in enumerate(("path", "word")):
                     if bags[k]:
                         flat, size, i, t = bags[k]
-                        np.add.at(grad[table], flat, np.repeat(dx[i, t, k * EMBED : (k + 1) * EMBED] / size[:, None], size, axis=0))
+                        at_word = np.argsort(flat, kind="stable")
+                        first = np.flatnonzero(np.diff(flat[at_word], prepend=-1))
+                        row = np.repeat(np.arange(len(size)), size)[at_word]
+                        grad[table][flat[at_word][first]] += np.add.reduceat((dx[i, t, k * EMBED : (k + 1) * EMBED] / size[:, None])[row], first)
                 n += 1
                 for k, v in self.p.items():
                     g = np.clip(grad[k].reshape(v.shape), -1, 1)
@@ -258,10 +269,21 @@ def purpose(path: tuple[str, ...]) -> int | None:
     return 1 if any(x in MAIN for x in path) else None
 
 
-def lessons(pages: list[str], copies: int = 2, seed: int = 8) -> tuple[list[list[Features]], list[list[int]]]:
-    """Training sequences with labels: the pages, and copies with sections added and names lost."""
+def repeats(cut: list[list[tuple[tuple[str, ...], str, int]]], hosts: list[str], least: int = 3) -> set[tuple[str, str]]:
+    """(host, text) of blocks that stand on ``least`` or more of a host's pages: what a site puts around its articles."""
+    seen = Counter((host, text) for page, host in zip(cut, hosts, strict=True) for text in {b[1] for b in page})
+    return {x for x, n in seen.items() if n >= least}
+
+
+def lessons(pages: list[str], hosts: list[str] | None = None, copies: int = 2, seed: int = 8) -> tuple[list[list[Features]], list[list[int]]]:
+    """Training sequences with labels: the pages, and copies with sections added and names lost.
+
+    A block whose path names no purpose is something else where its host repeats it.
+    """
     r = np.random.default_rng(seed)
-    cut = [[b for b in blocks(p)][:400] for p in pages]
+    cut = [blocks(p) for p in pages]
+    hosts = hosts or [""] * len(pages)
+    often = repeats(cut, hosts) if any(hosts) else set()
     asides = [b[1] for page in cut for b in page if purpose(b[0]) == 0] or ["Menu"]
     proses = [b[1] for page in cut for b in page if purpose(b[0]) == 1] or ["Text of a reader."]
     xs, ys = [], []
@@ -271,8 +293,8 @@ def lessons(pages: list[str], copies: int = 2, seed: int = 8) -> tuple[list[list
             xs.append([features(*b) for b in sequence])
             ys.append(labels)
 
-    for page in cut:
-        told = [(b, purpose(b[0])) for b in page]
+    for page, host in zip(cut, hosts, strict=True):
+        told = [(b, 0 if v is None and (host, b[1]) in often else v) for b, v in ((b, purpose(b[0])) for b in page)]
         # a page that names no main text has it in its longest blocks of prose
         if not any(v == 1 for _, v in told):
             told = [(b, v if v is not None else int(len(b[1]) > 80 and 2 * b[2] < len(b[1]))) for b, v in told]
@@ -295,17 +317,33 @@ def lessons(pages: list[str], copies: int = 2, seed: int = 8) -> tuple[list[list
     return xs, ys
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Labeller:
+#: Labellers of this process by a hash of what they were trained on.
+_MODELS: dict[str, Labeller] = {}
+
+
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Labeller:
     """A labeller trained on at most about ``sample`` pages of at most ``chars`` characters, chosen by a
-    hash of their id so that every run chooses the same."""
+    hash of their id so that every run chooses the same.
+
+    Null and empty pages teach nothing, nor do rows that repeat an id and page; an empty table gives the untrained
+    labeller. The same sample isn't learnt twice by one process.
+    """
     key = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003))
     n = pages.count()
     fit = pages.where((F.col(html_col).isNotNull()) & (F.length(html_col) <= chars) & (key < F.lit(min(1.0, sample / max(n, 1)) * 1_000_003)))
-    model = Labeller()
-    xs, ys = lessons([r[0] for r in fit.orderBy(key, id_col).limit(2 * sample).select(html_col).collect()])
-    if xs:
-        model.fit(xs, ys)
-    return model
+    host = F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    rows = fit.orderBy(key, id_col, F.xxhash64(html_col)).limit(2 * sample).select(F.col(html_col).alias("page"), host.alias("host")).collect()
+    rows = list(dict.fromkeys((r.page, r.host) for r in rows))
+    name = hashlib.sha256("\0".join(x for r in rows for x in r).encode()).hexdigest()
+    if name not in _MODELS:
+        model = Labeller()
+        xs, ys = lessons([r[0] for r in rows], [r[1] for r in rows])
+        if xs:
+            model.fit(xs, ys)
+        while len(_MODELS) > 4:
+            _MODELS.pop(next(iter(_MODELS)))
+        _MODELS[name] = model
+    return _MODELS[name]
 
 
 def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5) -> DataFrame:

@@ -44,11 +44,35 @@ def test_names_and_neighbours_that_the_sample_lacks(model):
 
 def test_blocks_bear_bad_markup():
     assert [b[1] for b in H.blocks("<p>a<p>b<ul><li>c<li>d</ul>e<!-- f")] == ["a", "b", "c", "d", "e"]
-    assert [b[1] for b in H.blocks("x<script>if(a<b)</b></script>y <b>z</b>&lt;&am")] == ["x", "y z<&am"]
+    assert [b[1] for b in H.blocks("x<script>if(a<b)</b></script>y <b>z</b>&lt;&am")] == ["xy z<&am"]
     assert H.blocks("") == [] and [b[1] for b in H.blocks("<a href='>'>t</a>")] == ["t"]
     assert len(H.blocks("<div>" * 3000 + "x" + "</div>" * 3000)) == 1
 
 
+def test_inline_raw_elements_stay_in_their_block():
+    of = lambda page: [b[1] for b in H.blocks(page)]
+    assert of("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>E=mc^2</annotation></math> here</p>") == ["Energy is E=mc2 here"]
+    assert of("<p>a<script>1</script>b <svg><path d='x'/></svg>c<template><p>no</p></template> d</p><p>e") == ["ab c d", "e"]
+    assert of("<title>t</title><p>a<style>p{}</style></p>") == ["a"]
+
+
+def test_quotes_that_are_never_closed():
+    of = lambda page: [b[1] for b in H.blocks(page)]
+    assert of('<p class="x>broken quote') == ["broken quote"]
+    assert of("<p>one</p><p title='it>two</p><p>three</p>") == ["one", "two", "three"]
+    assert of("<p>it's</p> <b title=\"a > b\">bold</b>") == ["it's", "bold"]
+
+
+def test_long_pages_and_repeated_blocks(model, pages):
+    long = "<article>" + "".join(f"<p>Paragraph {i} of a very long page, with words in it.</p>" for i in range(3000)) + "</article>"
+    assert len(H.blocks(long)) == 3000 and len(model.scores([[H.features(*b) for b in H.blocks(long)]])[0]) == 3000
+    cut = [H.blocks(f"<div>Own words {i} here</div><div>Made by our team</div>") for i in range(5)]
+    assert H.repeats(cut, ["h"] * 5) == {("h", "Made by our team")} and H.repeats(cut, list("abcde")) == set()
+    xs, ys = H.lessons([f"<div>{'own words ' * 20}{i}</div><div>{'made by our team ' * 9}</div>" for i in range(5)], ["h"] * 5, copies=0)
+    assert ys == [[1, 0]] * 5
+    assert H.train(pages) is model  # the same sample, not learnt again
+
+
 def test_padding_does_not_change_scores(model):
     a = [H.features(*b) for b in H.blocks(PAGE % (1, 1, 1))]
     alone, together = model.scores([a])[0], model.scores([a, a[:3], [], a * 5])[0]
