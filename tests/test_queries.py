@@ -5,11 +5,10 @@ import os
 import pytest
 from sqlcheck import connect, same
 
-from loomline.plans import estimator_queries, panel_queries
+from loomline import plans
 
 SF = "/root/testdata/sf0.001"
-QUERIES = panel_queries.QUERIES | estimator_queries.QUERIES
-ORACLE = panel_queries.ORACLE | estimator_queries.ORACLE
+QUERIES, ORACLE = plans.queries(), plans.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
 
