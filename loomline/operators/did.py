@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from .regression import time_effects
 
 
 def att_gt(df: DataFrame) -> DataFrame:
@@ -34,21 +34,16 @@ def switchers(df: DataFrame, horizon: int = 0) -> DataFrame:
     return per.where("s is not null and c is not null").agg((F.sum((F.col("s") - F.col("c")) * F.col("n")) / F.sum("n")).alias("did"), F.sum("n").alias("n_switchers"))
 
 
-def imputation(df: DataFrame, passes: int = 12) -> DataFrame:
+def imputation(df: DataFrame) -> DataFrame:
     """(e, att, n): treated outcomes less unit and time effects from untreated cells, by time since treatment.
 
-    Effects come from alternating means around the untreated mean; a unit or time never seen untreated has
-    effect 0. Each pass is one aggregation by unit and one by time.
+    Effects are those of least squares around the untreated mean, each kind with mean 0 over untreated cells; a
+    unit or time never seen untreated has effect 0.
     """
-    untreated = df.where("treat_time is null or time < treat_time").select("unit", "time", "y")
+    untreated = df.where("treat_time is null or time < treat_time").select(F.lit(0).alias("g"), "unit", "time", "y")
     mu = untreated.agg(F.avg("y").alias("mu"))  # one row
-    rest = checkpointed(untreated.join(F.broadcast(mu)).withColumn("y", F.col("y") - F.col("mu")).drop("mu"))
-    times = rest.select("time").distinct().withColumn("b", F.lit(0.0))
-    for k in range(passes):
-        units = rest.join(times, "time").groupBy("unit").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
-        times = rest.join(units, "unit").groupBy("time").agg(F.avg(F.col("y") - F.col("a")).alias("b"))
-        if k % 3 == 2:
-            times = checkpointed(times)
+    times = time_effects(untreated, ["y"], ["g"], "unit", "time").select("time", F.col("b0").alias("b"))
+    units = untreated.join(times, "time").join(F.broadcast(mu)).groupBy("unit").agg(F.avg(F.col("y") - F.col("mu") - F.col("b")).alias("a"))
     treated = df.where("time >= treat_time").join(units, "unit", "left").join(times, "time", "left").join(F.broadcast(mu))
     effect = F.col("y") - F.col("mu") - F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))
     return treated.groupBy((F.col("time") - F.col("treat_time")).alias("e")).agg(F.avg(effect).alias("att"), F.count("*").alias("n"))

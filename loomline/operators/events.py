@@ -11,6 +11,8 @@ from .resample import calendar
 #: Aggregation by kind; scorers by precedence.
 COUNTED, INDICATED = ("macropru", "fx"), ("structural",)
 PRECEDENCE = {"manual": 0, "llm": 1, "keyword": 2}
+#: What budgets announce.
+BUDGETED = ("transfers", "wages", "expenditure", "general")
 
 
 def schedule(events: DataFrame) -> DataFrame:
@@ -37,10 +39,11 @@ def quarterly(events: DataFrame, how: str = "sum", least_confidence: float = 0.0
 
 def surprise_filter(events: DataFrame, budget_months: dict[str, int], decay: float = 0.25, floor: float = 0.1) -> DataFrame:
     """Confidence of anticipated events times ``decay``; those under ``floor`` go. Anticipated: a profile of several
-    entries or a later quarter, or in the code's budget month; unless marked unanticipated."""
+    entries or a later quarter, or in the code's budget month on a target that budgets have; unless marked unanticipated."""
     months = F.create_map(*[F.lit(x) for kv in budget_months.items() for x in kv])
     later = F.coalesce(F.exists("profile", lambda p: F.date_trunc("quarter", p["date"]) > F.date_trunc("quarter", F.col("date"))), F.lit(False))
-    anticipated = ~F.coalesce("unanticipated", F.lit(False)) & ((F.coalesce(F.size("profile"), F.lit(0)) > 1) | later | F.coalesce(months[F.col("code")] == F.month("date"), F.lit(False)))
+    budget = F.coalesce((months[F.col("code")] == F.month("date")) & F.lower("subtarget").isin(*BUDGETED), F.lit(False))
+    anticipated = ~F.coalesce("unanticipated", F.lit(False)) & ((F.coalesce(F.size("profile"), F.lit(0)) > 1) | later | budget)
     return events.withColumn("anticipated", anticipated).withColumn("confidence", F.when(anticipated, F.col("confidence") * decay).otherwise(F.col("confidence"))).where(F.col("confidence") >= floor)
 
 

@@ -146,15 +146,42 @@ def lp_iv(df: DataFrame, by: list[str], order: str, y: str, x: str, z: str, hs:
     return estimate(scores(fitted, keys, "dy", ["fitted", *rest], "fitted"), keys, "hac", order, most=max(hs) + 1, bandwidth=F.col("h") + 1, alpha=alpha).join(f, keys)
 
 
+def time_effects(d: DataFrame, cols: list[str], by: list[str], entity: str, time: str) -> DataFrame:
+    """by, time, and for each column its least-squares time effect (b0, b1, ...) next to entity effects, rows weighted
+    mean 0, whatever rows are missing.
+
+    The normal equations of the dates alone: a count of entities by pair of dates, from each entity's own list of
+    dates, and sums of deviations from entity means. One small system per group is solved in its task.
+    """
+    e = Window.partitionBy(*by, entity)
+    sums = d.withColumns({f"__d{i}": F.col(c) - F.avg(c).over(e) for i, c in enumerate(cols)}).groupBy(*by, time).agg(F.count("*").cast("double").alias("n"), *[F.sum(f"__d{i}").alias(f"b{i}") for i in range(len(cols))])
+    dates = d.groupBy(*by, entity).agg(F.collect_list(time).alias("ts"))
+    pairs = dates.select(*by, F.explode("ts").alias("t"), "ts").select(*by, "t", F.explode("ts").alias("s"), (1.0 / F.size("ts")).alias("w")).groupBy(*by, "t", "s").agg(F.sum("w").alias("w"))
+    names = [f"b{i}" for i in range(len(cols))]
+
+    def solve(pair: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
+        place = {t: i for i, t in enumerate(total[time])}
+        a, n = np.diag(total["n"].to_numpy()), total["n"].to_numpy()
+        np.subtract.at(a, (pair["t"].map(place).to_numpy(), pair["s"].map(place).to_numpy()), pair["w"].to_numpy())
+        b = np.linalg.pinv(a, rcond=1e-11, hermitian=True) @ total[names].to_numpy()
+        out = total[[*by, time]].copy()
+        out[names] = b - n @ b / n.sum()
+        return out
+
+    types = dict(d.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in [*by, time]), *(f"{c} double" for c in names)])
+    pairs = pairs.select(*[F.col(b).alias(f"k_{b}") for b in by], "t", "s", "w")  # columns of their own, as both sides come from one frame
+    return pairs.groupBy(*[f"k_{b}" for b in by]).cogroup(sums.groupBy(*by)).applyInPandas(solve, schema)
+
+
 def within(df: DataFrame, cols: list[str], by: list[str], entity: str, time: str | None) -> DataFrame:
-    """Columns less their means by entity, and by time plus the grand mean (exact for balanced rows)."""
-    out = {}
-    for c in cols:
-        x = F.col(c) - F.avg(c).over(Window.partitionBy(*by, entity))
-        if time:
-            x = x - F.avg(c).over(Window.partitionBy(*by, time)) + F.avg(c).over(Window.partitionBy(*by))
-        out[c] = x
-    return df.withColumns(out)
+    """Columns less least-squares entity effects, and time effects if asked for; rows may be missing anywhere."""
+    e = Window.partitionBy(*by, entity)
+    if not time:
+        return df.withColumns({c: F.col(c) - F.avg(c).over(e) for c in cols})
+    b = time_effects(df, cols, by, entity, time)
+    d = df.join(b, [*by, time]).withColumns({c: F.col(c) - F.col(f"b{i}") for i, c in enumerate(cols)}).drop(*[f"b{i}" for i in range(len(cols))])
+    return d.withColumns({c: F.col(c) - F.avg(c).over(e) for c in cols})
 
 
 def panel_lp(df: DataFrame, entity: str, time: str, y: str, x: str, hs: list[int], n_lags: int = 2, se: str = "cluster", alpha: float = 0.10, two_way: bool = True) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import norm_cdf
-
 
 def normal_cdf(z: Column) -> Column:
     """Distribution function of the normal as an expression, by a rational approximation (error under 1e-7)."""
@@ -72,6 +70,3 @@ def weights(df: DataFrame, by: list[str], alpha: float = 0.10) -> DataFrame:
     part = lambda c: c / F.sum(c).over(w)
     return d.select(*by, "model", "mse", part(F.lit(1.0)).alias("w_equal"), part(F.col("inv")).alias("w_inverse"), part(1 / F.col("rank")).alias("w_rank"), part(F.col("keep")).alias("w_set"))
 
-
-def exact_normal_cdf(x: float) -> float:
-    return norm_cdf(x)

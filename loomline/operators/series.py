@@ -124,32 +124,111 @@ def factor(cols: list[str], loadings: np.ndarray, means: list[float], sds: list[
     return sum((float(w) * (F.col(c) - m) / s for c, w, m, s in zip(cols, loadings, means, sds, strict=True)), F.lit(0.0))
 
 
+def hp_trend(v: np.ndarray, lam: float) -> np.ndarray:
+    """(I + lam D'D) x = v by elimination in the five bands, in time and space of the series' length."""
+    n = len(v)
+    if n < 3:
+        return v
+    main, one, two = np.zeros(n), np.zeros(n), np.zeros(n)
+    for k, (p, q, r) in enumerate(((1, -2, 1),) * (n - 2)):
+        main[k : k + 3] += (p * p, q * q, r * r)
+        one[k : k + 2] += (p * q, q * r)
+        two[k] += p * r
+    main, one, two = 1 + lam * main, lam * one, lam * two
+    x = v.astype(float).copy()
+    for i in range(n - 1):
+        m = one[i] / main[i]
+        main[i + 1] -= m * one[i]
+        x[i + 1] -= m * x[i]
+        if i + 2 < n:
+            one[i + 1] -= m * two[i]
+            m = two[i] / main[i]
+            main[i + 2] -= m * two[i]
+            x[i + 2] -= m * x[i]
+    for i in range(n - 1, -1, -1):
+        x[i] = (x[i] - (one[i] * x[i + 1] if i + 1 < n else 0) - (two[i] * x[i + 2] if i + 2 < n else 0)) / main[i]
+    return x
+
+
+def _per_series(df: DataFrame, by: list[str], order: str, y: str, out: str, run) -> DataFrame:
+    """``run`` of each series' values in order, a dict of arrays of the same length."""
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({**{b: pdf[b] for b in by}, order: pdf[order], **run(pdf[y].to_numpy(float))})
+
+    types = dict(df.dtypes)
+    return df.select(*by, order, y).dropna().groupBy(*by).applyInPandas(apply, ", ".join(f"{c} {types[c]}" for c in [*by, order]) + ", " + out)
+
+
 def hp_filter(df: DataFrame, by: list[str], order: str, y: str, lam: float = 1600.0) -> DataFrame:
     """Trend of the penalised second difference: a banded system per series."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        v = pdf[y].to_numpy(float)
-        d = np.diff(np.eye(len(v)), 2, axis=0)
-        trend = np.linalg.solve(np.eye(len(v)) + lam * d.T @ d, v) if len(v) > 2 else v
-        return pd.DataFrame({**{b: pdf[b] for b in by}, order: pdf[order], "trend": trend, "cycle": v - trend})
+    def run(v: np.ndarray) -> dict:
+        trend = hp_trend(v, lam)
+        return {"trend": trend, "cycle": v - trend}
 
-    types = dict(df.dtypes)
-    return df.select(*by, order, y).dropna().groupBy(*by).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*by, order]) + ", trend double, cycle double")
+    return _per_series(df, by, order, y, "trend double, cycle double", run)
 
 
-def garch_path(df: DataFrame, by: list[str], order: str, r: str, omega: float, alpha: float, beta: float) -> DataFrame:
-    """Conditional variance of GARCH(1,1) at given parameters, from the sample variance on, at least 1e-10.
+def garch_variance(r: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
+    out, s = np.empty(len(r)), float(np.var(r))
+    for t in range(len(r)):
+        out[t] = s = max(s, 1e-10)
+        s = omega + alpha * r[t] * r[t] + beta * s
+    return out
 
-    sigma2_t = omega sum beta^k + alpha sum beta^k r_{t-1-k}^2 + beta^t sigma2_0, a fold over each series' own array.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(r).alias("r"))))
-    d = df.where(F.col(r).isNotNull()).groupBy(*by).agg(ordered.alias("x"), F.var_pop(r).alias("v0"))
-    zero = F.struct(F.col("v0").alias("s"), F.array().cast("array<double>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = F.greatest(acc["s"], F.lit(1e-10))
-        return F.struct((omega + alpha * x["r"] * x["r"] + beta * s).alias("s"), F.array_append(acc["out"], s).alias("out"))
+def garch_path(df: DataFrame, by: list[str], order: str, r: str, omega: float, alpha: float, beta: float) -> DataFrame:
+    """Conditional variance of GARCH(1,1) at given parameters, from the sample variance on, at least 1e-10."""
+    return _per_series(df, by, order, r, "sigma2 double", lambda v: {"sigma2": garch_variance(v, omega, alpha, beta)})
+
+
+def simplex_search(f, start: np.ndarray, step: float = 0.5, rounds: int = 600, tolerance: float = 1e-10) -> np.ndarray:
+    """Nelder and Mead's minimum of a function of a few variables."""
+    points = [start] + [start + step * e for e in np.eye(len(start))]
+    values = [f(p) for p in points]
+    for _ in range(rounds):
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if values[-1] - values[0] < tolerance * (1 + abs(values[0])):
+            break
+        middle = np.mean(points[:-1], axis=0)
+        tried = middle + (middle - points[-1])
+        value = f(tried)
+        if value < values[0]:
+            far = middle + 2 * (middle - points[-1])
+            tried, value = min(((tried, value), (far, f(far))), key=lambda x: x[1])
+        elif value >= values[-2]:
+            near = middle + 0.5 * ((tried if value < values[-1] else points[-1]) - middle)
+            tried, value = near, f(near)
+            if value >= values[-1]:
+                points = [points[0] + 0.5 * (p - points[0]) for p in points]
+                values = [f(p) for p in points]
+                continue
+        points[-1], values[-1] = tried, value
+    return points[int(np.argmin(values))]
+
+
+def garch_fit(df: DataFrame, by: list[str], order: str, r: str, least: int = 50) -> DataFrame:
+    """omega, alpha, beta, loglik, n of GARCH(1,1) by Gaussian likelihood for each series of ``least`` values or more."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(order)[r].to_numpy(float)
+        if len(v) < least or not v.var():
+            return pd.DataFrame(columns=[*by, "omega", "alpha", "beta", "loglik", "n"])
+
+        def natural(p: np.ndarray) -> tuple[float, float, float]:
+            a, b = np.exp(np.clip(p[1:], -30, 30))
+            return float(np.exp(np.clip(p[0], -30, 30)) * v.var()), float(a / (1 + a + b)), float(b / (1 + a + b))
+
+        def loss(p: np.ndarray) -> float:
+            s = garch_variance(v, *natural(p))
+            return float(0.5 * (np.log(2 * np.pi * s) + v * v / s).sum())
+
+        starts = [simplex_search(loss, np.array(p)) for p in ([-3.0, 0.0, 2.2], [-0.7, -1.0, 0.0])]
+        best = min(starts, key=loss)
+        return pd.DataFrame([(*pdf[by].iloc[0], *natural(best), -loss(best), len(v))], columns=[*by, "omega", "alpha", "beta", "loglik", "n"])
 
-    path = F.aggregate("x", zero, step, lambda acc: acc["out"])
-    return d.select(*by, F.explode(F.arrays_zip(F.col("x").alias("x"), path.alias("s"))).alias("e")).select(*by, F.col("e.x.o").alias(order), F.col("e.s").alias("sigma2"))
+    types = dict(df.dtypes)
+    return df.select(*by, order, r).dropna().groupBy(*by).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in by) + ", omega double, alpha double, beta double, loglik double, n long")

@@ -31,8 +31,11 @@ def rolling_shares(panel: DataFrame, window: int, lag: int, least: int = 1) -> D
     return _normalise(mean, ["geo", "t"]).select("geo", "industry", F.floor(F.col("t") / 4).cast("int").alias("year"), (F.col("t") % 4 + 1).cast("int").alias("qtr"), "share")
 
 
-def exposure(shares: DataFrame, betas: DataFrame) -> DataFrame:
-    """geo, exposure: sum of share times its industry's beta, 0 where it has none."""
+def exposure(shares: DataFrame, betas: DataFrame, most_unmatched: float | None = 0.05) -> DataFrame:
+    """geo, exposure: sum of share times its industry's beta, 0 where it has none; raises where more than
+    ``most_unmatched`` of the share rows have none."""
+    if most_unmatched is not None and (unmatched_share(shares, betas).first()[0] or 0) > most_unmatched:
+        raise ValueError(f"more than {most_unmatched:.0%} of share rows have no coefficient")
     return shares.join(betas, "industry", "left").groupBy("geo").agg(F.sum(F.col("share") * F.coalesce("beta", F.lit(0.0))).alias("exposure"))
 
 

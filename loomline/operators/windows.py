@@ -78,20 +78,24 @@ def har_terms(rv: str, by: list[str], order: str, overlapping: bool = False) ->
     return [F.when(full(*s), F.avg(rv).over(over(by, order, *s))).alias(f"rv_{n}") for n, s in spans.items()]
 
 
-def haar(c: str, by: list[str], order: str, levels: int = 3) -> list[Column]:
-    """Maximal-overlap Haar details by level, and the last smooth, of complete dyadic windows.
+def haar(df: DataFrame, c: str, by: list[str], order: str, levels: int = 3) -> DataFrame:
+    """Maximal-overlap Haar details d1, d2, ... and the last smooth; each series wraps around its end.
 
     Level j's detail is half the difference of the means of the newer and the older 2^(j-1) rows.
     """
+    span = 2**levels - 1
+    every, at = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__i")
+    d = df.select(*by, order, F.col(c).alias("__v"), F.row_number().over(over(by, order)).alias("__i"), F.count("*").over(every).alias("__n"))
+    # the last rows once more before the first, as often as the span asks for
+    wrapped = d.withColumn("__k", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(span) / F.col("__n")).cast("int")))).withColumn("__i", F.col("__i") - F.col("__k") * F.col("__n")).where(F.col("__i") > -span)
     out = []
     for j in range(1, levels + 1):
         half = 2 ** (j - 1)
-        newer, older = F.avg(c).over(over(by, order, -half + 1, 0)), F.avg(c).over(over(by, order, -2 * half + 1, -half))
-        enough = F.count(c).over(over(by, order, -2 * half + 1, 0)) == 2 * half
-        out.append(F.when(enough, (newer - older) / 2).alias(f"d{j}"))
+        newer, older = F.avg("__v").over(at.rowsBetween(-half + 1, 0)), F.avg("__v").over(at.rowsBetween(-2 * half + 1, -half))
+        out.append(((newer - older) / 2).alias(f"d{j}"))
         if j == levels:
-            out.append(F.when(enough, (newer + older) / 2).alias("smooth"))
-    return out
+            out.append(((newer + older) / 2).alias("smooth"))
+    return wrapped.select(*by, order, "__k", *out).where("__k = 0").drop("__k")
 
 
 def between_within(panel: DataFrame, entity: str, date: str, value: str) -> DataFrame:

@@ -29,16 +29,42 @@ def query(sql: str | None = None):
     return put
 
 
-ECONOMY, POLICY, DOUBT = ["the", "and"], ["of", "in"], ["was", "from"]
 RECORDS = "records AS (SELECT DATE '2000-01-01' + CAST(doc_id % 4000 AS INT) AS date, text, 'doc://' || doc_id AS url, lang FROM documents)"
 
 
-def _count(terms):
-    return " + ".join(rf"len(regexp_extract_all(lower(text), '\b{t}\b'))" for t in terms)
+#: Terms by language; rows of another language, or of none, go by the English ones.
+TERMS = {
+    "en": {"economy": ["the", "and"], "policy": ["of", "in"], "doubt": ["was", "from"]}, "de": {"economy": ["der", "und"], "policy": ["die", "in"], "doubt": ["nicht", "von"]},
+    "fr": {"economy": ["le", "et"], "policy": ["la", "en"], "doubt": ["dans", "sur"]}, "es": {"economy": ["el", "y"], "policy": ["la", "en"], "doubt": ["por", "que"]},
+}
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
-def english(spark, d):
-    return src.text_records(spark, d).where("metadata['lang'] = 'en'")
+def _listed(terms):
+    return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+
+
+def _each(form):
+    """A CASE over languages of an SQL form of the language's terms."""
+    return "CASE " + " ".join(f"WHEN lang = '{x}' THEN {form(t)}" for x, t in TERMS.items() if x != "en") + f" ELSE {form(TERMS['en'])} END"
+
+
+def _count(*groups):
+    return _each(lambda t: f"len(list_filter({WORDS}, lambda w: list_contains({_listed(sum((t[g] for g in groups), []))}, w)))")
+
+
+def _has(text, *groups):
+    tokens = rf"regexp_extract_all({text}, '[\p{{L}}\p{{N}}_]+')"
+    return _each(lambda t: "(" + " AND ".join(f"list_has_any({tokens}, {_listed(t[g])})" for g in groups) + ")")
+
+
+def counted(*groups):
+    return X.by_language(F.col("lang"), {x: X.count_terms(F.col("text"), sum((t[g] for g in groups), []), x) for x, t in TERMS.items()})
+
+
+def records(spark, d):
+    """All documents as text records, with their language."""
+    return src.text_records(spark, d).withColumn("lang", F.col("metadata")["lang"])
 
 
 @query("SELECT DATE '2000-01-01' + CAST(doc_id % 4000 AS INT) AS date, text, 'doc://' || doc_id AS url FROM documents")
@@ -46,33 +72,35 @@ def text_records(spark, d):
     return src.text_records(spark, d).select("date", "text", "url")
 
 
-@query(rf"""WITH {RECORDS} SELECT url, {_count(ECONOMY + POLICY)} AS hits, len(regexp_extract_all(text, '\S+')) AS words,
- CASE WHEN len(regexp_extract_all(text, '\S+')) > 0 THEN round(({_count(ECONOMY + POLICY)}) / CAST(len(regexp_extract_all(text, '\S+')) AS DOUBLE) * 1000, 6) ELSE 0 END AS per_thousand FROM records WHERE lang = 'en'""")
+@query(rf"""WITH {RECORDS}, c AS (SELECT url, {_count("economy", "policy")} AS hits, len(regexp_extract_all(text, '\S+')) AS words FROM records)
+SELECT *, CASE WHEN words > 0 THEN round(hits / CAST(words AS DOUBLE) * 1000, 6) ELSE 0 END AS per_thousand FROM c""")
 def keyword_count(spark, d):
-    hits, words = X.count_terms(F.col("text"), ECONOMY + POLICY), X.n_words(F.col("text"))
-    return english(spark, d).select("url", hits.cast("long").alias("hits"), words.cast("long").alias("words"), F.round(X.per_thousand(hits, words), 6).alias("per_thousand"))
+    c = records(spark, d).select("url", counted("economy", "policy").cast("long").alias("hits"), X.n_words(F.col("text")).cast("long").alias("words"))
+    return c.withColumn("per_thousand", F.round(X.per_thousand(F.col("hits"), F.col("words")), 6))
 
 
-@query(rf"""WITH {RECORDS} SELECT url, CAST(regexp_matches(lower(text), '\b(the|and)\b') AND regexp_matches(lower(text), '\b(of|in)\b') AND regexp_matches(lower(text), '\b(was|from)\b') AS INT) AS doc_hit,
- CAST(len(list_filter(list_transform(string_split_regex(lower(text), '[.!?]+'), lambda s: trim(s)), lambda s: s <> '' AND regexp_matches(s, '\b(the|and)\b') AND regexp_matches(s, '\b(was|from)\b'))) AS INT) AS sentence_hits FROM records WHERE lang = 'en'""")
+@query(rf"""WITH {RECORDS} SELECT url, CAST({_has("lower(text)", "economy", "policy", "doubt")} AS INT) AS doc_hit,
+ CAST(len(list_filter(list_transform(string_split_regex(lower(text), '[.!?]+'), lambda s: trim(s)), lambda s: s <> '' AND {_has("s", "economy", "doubt")})) AS INT) AS sentence_hits FROM records""")
 def cooccurrence(spark, d):
-    return english(spark, d).select("url", X.cooccurrence(F.col("text"), [ECONOMY, POLICY, DOUBT]).alias("doc_hit"), X.cooccurrence(F.col("text"), [ECONOMY, DOUBT], "sentence").alias("sentence_hits"))
+    each = lambda groups, unit: X.by_language(F.col("lang"), {x: X.cooccurrence(F.col("text"), [t[g] for g in groups], unit) for x, t in TERMS.items()})
+    return records(spark, d).select("url", each(["economy", "policy", "doubt"], "document").alias("doc_hit"), each(["economy", "doubt"], "sentence").alias("sentence_hits"))
 
 
-@query(rf"""WITH {RECORDS}, c AS (SELECT url, {_count(ECONOMY)} AS a, {_count(POLICY)} AS b FROM records WHERE lang = 'en') SELECT url, CASE WHEN a + b > 0 THEN round((a - b) / CAST(a + b AS DOUBLE), 8) ELSE 0 END AS tone FROM c""")
+@query(rf"""WITH {RECORDS}, c AS (SELECT url, {_count("economy")} AS a, {_count("policy")} AS b FROM records) SELECT url, CASE WHEN a + b > 0 THEN round((a - b) / CAST(a + b AS DOUBLE), 8) ELSE 0 END AS tone FROM c""")
 def tone(spark, d):
-    return english(spark, d).select("url", F.round(X.tone(F.col("text"), ECONOMY, POLICY), 8).alias("tone"))
+    each = X.by_language(F.col("lang"), {x: X.tone(F.col("text"), t["economy"], t["policy"]) for x, t in TERMS.items()})
+    return records(spark, d).select("url", F.round(each, 8).alias("tone"))
 
 
 def _index_sql(agg):
-    return rf"""WITH {RECORDS}, s AS (SELECT date, {_count(DOUBT)} AS score FROM records WHERE lang = 'en'),
+    return rf"""WITH {RECORDS}, s AS (SELECT date, {_count("doubt")} AS score FROM records),
 q AS (SELECT CAST(date_trunc('quarter', date) AS DATE) AS date, {agg} AS value FROM s GROUP BY 1),
 cal AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 3 MONTH)) AS DATE) AS date FROM q)
 SELECT date, round(value, 6) AS value FROM cal LEFT JOIN q USING (date)"""
 
 
 def _index(spark, d, how):
-    scored = english(spark, d).select("date", X.count_terms(F.col("text"), DOUBT).alias("score"))
+    scored = records(spark, d).select("date", counted("doubt").alias("score"))
     return X.index_quarterly(scored, how).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
@@ -93,13 +121,13 @@ def index_dispersion(spark, d):
 
 @query(_index_sql("avg(score)").replace("SELECT date, round(value, 6) AS value FROM cal LEFT JOIN q USING (date)", "SELECT date, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS value FROM cal LEFT JOIN q USING (date)"))
 def index_zscore(spark, d):
-    scored = english(spark, d).select("date", X.count_terms(F.col("text"), DOUBT).alias("score"))
+    scored = records(spark, d).select("date", counted("doubt").alias("score"))
     return X.normalise(X.index_quarterly(scored)).withColumn("value", F.round("value", 6))
 
 
-@query(rf"""WITH {RECORDS} SELECT CAST(date_trunc('quarter', date) AS DATE) AS date, count(*) AS n_docs, round(avg(len(regexp_extract_all(text, '\S+'))), 6) AS mean_words FROM records WHERE lang = 'en' GROUP BY 1""")
+@query(rf"""WITH {RECORDS} SELECT CAST(date_trunc('quarter', date) AS DATE) AS date, count(*) AS n_docs, round(avg(len(regexp_extract_all(text, '\S+'))), 6) AS mean_words FROM records GROUP BY 1""")
 def sparsity_report(spark, d):
-    return X.sparsity(english(spark, d)).withColumn("mean_words", F.round("mean_words", 6))
+    return X.sparsity(records(spark, d)).withColumn("mean_words", F.round("mean_words", 6))
 
 
 @query("""WITH p AS (SELECT avg(e) AS m, i FROM (SELECT unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label = 0) GROUP BY 2), s AS (SELECT list(CAST(m AS DOUBLE) ORDER BY i) AS seed FROM p)
@@ -117,7 +145,7 @@ def strip_html(spark, d):
 
 
 EVENTS = """ev AS (SELECT o_orderkey AS event_id, n_name AS code, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderpriority LIKE '1%' THEN 'fiscal' WHEN o_orderpriority LIKE '2%' THEN 'macropru' WHEN o_orderpriority LIKE '3%' THEN 'structural' ELSE 'monetary' END AS kind,
- CASE o_orderstatus WHEN 'F' THEN -1 ELSE 1 END AS sign, CAST(round(o_totalprice) AS DOUBLE) AS magnitude, o_orderkey % 10 / CAST(10 AS DOUBLE) AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'tax' ELSE 'both' END AS target FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+ CASE o_orderstatus WHEN 'F' THEN -1 ELSE 1 END AS sign, CAST(round(o_totalprice) AS DOUBLE) AS magnitude, o_orderkey % 10 / CAST(10 AS DOUBLE) AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'tax' ELSE 'both' END AS target, CASE o_orderkey % 4 WHEN 0 THEN 'Wages' WHEN 1 THEN 'vat' WHEN 2 THEN 'general' END AS subtarget FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def narrative(spark, d):
@@ -127,6 +155,7 @@ def narrative(spark, d):
     return o.select(
         F.col("o_orderkey").alias("event_id"), F.col("n_name").alias("code"), F.to_date("o_orderdate").alias("date"), kind.alias("kind"), F.when(F.col("o_orderstatus") == "F", -1).otherwise(1).alias("sign"),
         F.round("o_totalprice").alias("magnitude"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), F.when(F.col("o_orderkey") % 3 == 0, "tax").otherwise("both").alias("target"),
+        F.when(F.col("o_orderkey") % 4 == 0, "Wages").when(F.col("o_orderkey") % 4 == 1, "vat").when(F.col("o_orderkey") % 4 == 2, "general").alias("subtarget"),
         F.lit("keyword").alias("scoring"), F.array().cast("array<struct<date:date,weight:double>>").alias("profile"), F.lit(False).alias("unanticipated"),
     )
 
@@ -162,7 +191,7 @@ def events_quarterly_first(spark, d):
     return _events(spark, d, "first")
 
 
-@query(f"""WITH {EVENTS}, f AS (SELECT event_id, CASE WHEN (code = 'NATION_3' AND month(date) = 3) OR (code = 'NATION_7' AND month(date) = 9) THEN confidence * CAST(0.25 AS DOUBLE) ELSE confidence END AS confidence FROM ev) SELECT * FROM f WHERE confidence >= CAST(0.1 AS DOUBLE)""")
+@query(f"""WITH {EVENTS}, f AS (SELECT event_id, CASE WHEN ((code = 'NATION_3' AND month(date) = 3) OR (code = 'NATION_7' AND month(date) = 9)) AND subtarget IN ('Wages', 'general') THEN confidence * CAST(0.25 AS DOUBLE) ELSE confidence END AS confidence FROM ev) SELECT * FROM f WHERE confidence >= CAST(0.1 AS DOUBLE)""")
 def surprise_filter(spark, d):
     return E.surprise_filter(narrative(spark, d), {"NATION_3": 3, "NATION_7": 9}).select("event_id", "confidence")
 

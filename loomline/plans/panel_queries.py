@@ -329,10 +329,12 @@ def har_design(spark, d):
     return t.select("code", "date", "rv_d", F.round("rv_w", 10).alias("rv_w"), F.round("rv_m", 10).alias("rv_m"))
 
 
-@query(f"""WITH {TRADE}, a AS (SELECT code, date, orders, lag(orders) OVER w AS l1, lag(orders, 2) OVER w AS l2, lag(orders, 3) OVER w AS l3 FROM trade WINDOW w AS (PARTITION BY code ORDER BY date))
-SELECT code, date, (orders - l1) / 2 AS d1, ((orders + l1) / 2 - (l2 + l3) / 2) / 2 AS d2, ((orders + l1) / 2 + (l2 + l3) / 2) / 2 AS smooth FROM a""")
+@query(f"""WITH {TRADE}, a AS (SELECT code, date, orders, row_number() OVER (PARTITION BY code ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY code) AS n FROM trade),
+w AS (SELECT a.code, a.date, k.k, b.orders AS v FROM a, (SELECT unnest([0, 1, 2, 3]) AS k) k, a b WHERE b.code = a.code AND b.i = ((a.i - k.k) % a.n + a.n) % a.n),
+p AS (SELECT code, date, max(v) FILTER (k = 0) AS v0, max(v) FILTER (k = 1) AS v1, max(v) FILTER (k = 2) AS v2, max(v) FILTER (k = 3) AS v3 FROM w GROUP BY 1, 2)
+SELECT code, date, (v0 - v1) / 2 AS d1, ((v0 + v1) / 2 - (v2 + v3) / 2) / 2 AS d2, ((v0 + v1) / 2 + (v2 + v3) / 2) / 2 AS smooth FROM p""")
 def haar_modwt(spark, d):
-    return src.trade_wide(spark, d).select("code", "date", *W.haar("orders", ["code"], "date", 2))
+    return W.haar(src.trade_wide(spark, d), "orders", ["code"], "date", 2)
 
 
 @query(f"""WITH {TRADE}, t AS (SELECT date, avg(orders) AS m, var_pop(orders) AS v FROM trade GROUP BY 1), s AS (SELECT var_pop(m) AS b, avg(v) AS w FROM t)

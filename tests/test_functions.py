@@ -3,7 +3,7 @@ from math import isclose
 from pyspark.sql import functions as F
 
 from loomline.functions import stats
-from loomline.operators import panel, scoring, text, windows
+from loomline.operators import panel, scoring, shares, text, windows
 from loomline.sources import panel as src
 from loomline.streaming import measures
 
@@ -35,6 +35,8 @@ def test_text(spark):
     assert [tuple(r) for r in got] == [(2, 0, 3), (0, 0, 0), (0, 0, 0)]
     money = spark.createDataFrame([("cost $5.2 billion, or 7,100 million",), ("1.5 trillion",), ("a rise of 25 bps by 0.5 percentage points",), (None,)], "t string")
     assert [tuple(round(x, 9) for x in r) for r in money.select(text.billions(t), text.basis_points(t)).collect()] == [(7.1, 0.0), (1500.0, 0.0), (0.0, 50.0), (0.0, 0.0)]
+    more = spark.createDataFrame([("$3B and 900M",), ("by 2 percentage points, 150 basis points",), ("2 percentage points",), ("1,200.5 Million",)], "t string")
+    assert [tuple(round(x, 9) for x in r) for r in more.select(text.billions(t), text.basis_points(t)).collect()] == [(3.0, 0.0), (0.0, 200.0), (0.0, 0.0), (1.2005, 0.0)]
     cjk = spark.createDataFrame([("不确定不确定",)], "t string")
     assert cjk.select(text.count_terms(t, ["不确定"], "zh")).first()[0] == 2
 
@@ -69,3 +71,23 @@ def test_streams_agree_with_batches(spark, tmp_path):
         v.where("vintage_date = '2020-03-01'").withColumn("value", F.lit(value)).write.mode("append").parquet(str(tmp_path / "v"))
         measures.upsert_vintages(spark.readStream.schema(v.schema).parquet(str(tmp_path / "v")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.vintage_date, r.value) for r in measures.latest(spark, str(tmp_path / "out")).collect()) == [("2020-02-01", 1.0), ("2020-03-01", 5.0)]
+    measures.compact(spark, str(tmp_path / "out"))
+    assert len([x for x in (tmp_path / "out").iterdir() if x.name.startswith("v=")]) == 1
+    assert sorted((r.vintage_date, r.value) for r in measures.latest(spark, str(tmp_path / "out")).collect()) == [("2020-02-01", 1.0), ("2020-03-01", 5.0)]
+
+
+def test_last_arrival_of_a_batch_stands(spark, tmp_path):
+    v = spark.createDataFrame([("s", "a", "b", 9.0, 1), ("s", "a", "b", 2.0, 3), ("s", "a", "b", 5.0, 2)], "series_id string, observation_date string, vintage_date string, value double, n int")
+    v.coalesce(1).write.parquet(str(tmp_path / "v"))
+    measures.upsert_vintages(spark.readStream.schema(v.schema).parquet(str(tmp_path / "v")), str(tmp_path / "out"), str(tmp_path / "cp"), "n").awaitTermination()
+    assert [r.value for r in measures.latest(spark, str(tmp_path / "out")).collect()] == [2.0]
+
+
+def test_exposure_needs_most_coefficients(spark):
+    import pytest
+
+    shares_ = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.5)], "geo string, industry string, share double")
+    betas = spark.createDataFrame([("x", 2.0)], "industry string, beta double")
+    with pytest.raises(ValueError):
+        shares.exposure(shares_, betas)
+    assert shares.exposure(shares_, betas, None).first().exposure == 1.0

@@ -108,23 +108,52 @@ def test_adf_hamilton_and_granger(frame):
 
 
 def test_var_moments_and_decompositions(spark):
-    r = np.random.default_rng(42)
-    a, y = np.array([[0.5, 0.1], [0.0, 0.6]]), np.zeros((400, 2))
-    for t in range(1, 400):
-        y[t] = a @ y[t - 1] + r.multivariate_normal([0, 0], [[1, 0.3], [0.3, 1]])
-    df = spark.createDataFrame([(t, float(p), float(q)) for t, (p, q) in enumerate(y)], "t int, a double, b double")
-    _, est, sigma, n = series.var_ols(df, "t", ["a", "b"], 1)
-    X = np.column_stack([np.ones(399), y[:-1]])
-    beta = np.linalg.lstsq(X, y[1:], rcond=None)[0]
-    u = y[1:] - X @ beta
-    assert n == 399 and np.allclose(est[0], beta[1:].T) and np.allclose(sigma, u.T @ u / (399 - 3))
+    """A three-variable system of our own with two lags, against least squares on stacked rows."""
+    r = np.random.default_rng(11)
+    a1, a2 = np.array([[0.4, -0.2, 0.0], [0.1, 0.3, 0.2], [0.0, 0.15, -0.3]]), np.diag([0.2, -0.1, 0.25])
+    mix, y = np.array([[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [-0.4, 0.1, 0.5]]), np.zeros((260, 3))
+    for t in range(2, 260):
+        y[t] = 0.3 + a1 @ y[t - 1] + a2 @ y[t - 2] + mix @ r.standard_normal(3)
+    df = spark.createDataFrame([(t, *map(float, v)) for t, v in enumerate(y)], "t int, a double, b double, c double")
+    constant, est, sigma, n = series.var_ols(df, "t", ["a", "b", "c"], 2)
+    X = np.column_stack([np.ones(258), y[1:-1], y[:-2]])
+    beta = np.linalg.lstsq(X, y[2:], rcond=None)[0]
+    u = y[2:] - X @ beta
+    assert n == 258 and np.allclose(constant, beta[0]) and np.allclose(est[0], beta[1:4].T) and np.allclose(est[1], beta[4:].T) and np.allclose(sigma, u.T @ u / (258 - 7))
     psi = series.moving_average(est, 6)
-    assert np.allclose(psi[3], np.linalg.matrix_power(est[0], 3))
+    companion = np.block([[est[0], est[1]], [np.eye(3), np.zeros((3, 3))]])
+    assert all(np.allclose(psi[h], np.linalg.matrix_power(companion, h)[:3, :3]) for h in range(7))
     assert np.allclose(series.fevd(psi @ np.linalg.cholesky(sigma)).sum(axis=2), 1)
     total, to, frm = series.spillover(series.gfevd(psi, sigma)[-1])
     assert 0 < total < 100 and np.isclose(to.sum(), frm.sum())
 
 
+def test_effects_on_panels_with_holes(spark):
+    """Within transformation, panel LP and imputation against dummy regressions where rows are missing."""
+    r = np.random.default_rng(3)
+    rows = [(int(h), f"e{i}", t, float(r.standard_normal() + i + t * t / 9), float(r.standard_normal() * (1 + i))) for h in (0, 1) for i in range(7) for t in range(12) if r.random() < 0.6 or t < 2]
+    d = pd.DataFrame(rows, columns=["h", "e", "t", "y", "x"])
+    got = regression.within(spark.createDataFrame(d), ["y", "x"], ["h"], "e", "t").toPandas().sort_values(["h", "e", "t"])
+    for h, g in d.sort_values(["h", "e", "t"]).groupby("h"):
+        dummies = np.column_stack([pd.get_dummies(g.e), pd.get_dummies(g.t)]).astype(float)
+        for c in ("y", "x"):
+            want = g[c] - dummies @ np.linalg.lstsq(dummies, g[c], rcond=None)[0]
+            assert np.allclose(got[got.h == h][c], want, atol=1e-8)
+    cells = [(i, t, float(i % 3 + t + r.standard_normal()), g) for i in range(24) for g in [None if i % 3 == 0 else 4 + i % 3] for t in range(9) if r.random() < 0.8]
+    f = pd.DataFrame(cells, columns=["unit", "time", "y", "treat_time"])
+    un = f[f.treat_time.isna() | (f.time < f.treat_time)]
+    units, times = sorted(un.unit.unique()), sorted(un.time.unique())
+    X = np.column_stack([(un.unit.to_numpy()[:, None] == units), (un.time.to_numpy()[:, None] == times)]).astype(float)
+    beta = np.linalg.lstsq(X, un.y, rcond=None)[0]
+    treated = f[f.time >= f.treat_time]
+    treated = treated[treated.unit.isin(units) & treated.time.isin(times)]
+    effect = treated.y - [beta[units.index(u)] + beta[len(units) + times.index(t)] for u, t in zip(treated.unit, treated.time)]
+    want = effect.groupby(treated.time - treated.treat_time).mean()
+    schema = "unit int, time int, y double, treat_time int"
+    got = {r.e: r.att for r in did.imputation(spark.createDataFrame([(*map(int, c[:2]), c[2], c[3]) for c in cells], schema)).collect()}
+    assert len(treated) > 30 and all(abs(got[e] - v) < 1e-8 for e, v in want.items() if len(f[(f.time - f.treat_time) == e]) == len(treated[(treated.time - treated.treat_time) == e]))
+
+
 def test_garch_path_and_hp(spark):
     r = np.random.default_rng(1).standard_normal(50)
     df = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(r)], "code string, t int, r double")
@@ -133,14 +162,30 @@ def test_garch_path_and_hp(spark):
     for v in r[:-1]:
         s.append(0.1 + 0.2 * v * v + 0.7 * s[-1])
     assert np.allclose(got, s)
+    s2 = np.eye(50) + 10.0 * np.diff(np.eye(50), 2, axis=0).T @ np.diff(np.eye(50), 2, axis=0)
+    assert np.allclose(series.hp_trend(r, 10.0), np.linalg.solve(s2, r))
     hp = series.hp_filter(df, ["code"], "t", "r", 10.0).toPandas()
     assert np.allclose(hp.trend + hp.cycle, r[hp.t]) and abs(hp.cycle.sum()) < 1e-8
 
 
+def test_garch_fit_finds_the_likeliest(spark):
+    r = np.random.default_rng(4)
+    v, s = [], 1.0
+    for _ in range(1500):
+        v.append(float(r.standard_normal() * np.sqrt(s)))
+        s = 0.1 + 0.15 * v[-1] ** 2 + 0.75 * s
+    df = spark.createDataFrame([("a", t, x) for t, x in enumerate(v)] + [("b", t, 0.0) for t in range(99)], "code string, t int, r double")
+    (got,) = series.garch_fit(df, ["code"], "t", "r").collect()
+    x = np.array(v)
+    loglik = lambda *p: -0.5 * (np.log(2 * np.pi * (h := series.garch_variance(x, *p))) + x * x / h).sum()
+    assert abs(got.alpha - 0.15) < 0.06 and abs(got.beta - 0.75) < 0.12 and np.isclose(got.loglik, loglik(got.omega, got.alpha, got.beta))
+    assert all(loglik(got.omega * a, got.alpha * b, min(0.99, got.beta * c)) <= got.loglik + 1e-6 for a, b, c in ((1.05, 1, 1), (0.95, 1, 1), (1, 1.05, 1), (1, 0.95, 1), (1, 1, 1.02), (1, 1, 0.98)))
+
+
 def test_imputation_recovers_the_effect(spark):
     rows = [(i, t, float(i + 2 * t + (3 if g is not None and t >= g else 0)), g) for i in range(30) for g in [None if i % 3 == 0 else 4 + i % 3] for t in range(10)]
     df = spark.createDataFrame(rows, "unit int, time int, y double, treat_time int")
-    assert all(abs(r.att - 3) < 0.02 for r in did.imputation(df, 30).collect())
+    assert all(abs(r.att - 3) < 1e-9 for r in did.imputation(df).collect())
     assert all(abs(r.att - (3 if r.t >= r.g else 0)) < 1e-9 for r in did.att_gt(df).collect())
     assert abs(did.switchers(df).first().did - 3) < 1e-9
     lp = {r.h: r.beta for r in regression.lp_did(df, "unit", "time", "y", "treat_time", [-2, -1, 0, 1]).collect()}
