@@ -30,13 +30,15 @@ from .byte_bpe import ragged, ragged_of
 #: The public vocabulary's name; public_tokenizers.path(name) is its place on each machine.
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 1024
+#: Words whose ids a process keeps from batch to batch, some 20 MB.
+KEPT = 400_000
 ROWS = 256
 MARK = r"([0-9A-Za-z])([.,;:!?)])(?:[ \t-\r]|$)"
 MANIFEST = "shard int, path string, docs_path string, n_docs long, n_ids long, n_rows long"
 
 
 class WordBPE:
-    """Encodes whole texts by encoding each distinct word of a batch once.
+    """Encodes whole texts by encoding each distinct word of a batch once, and words that recur once a process.
 
     The vocabulary's normaliser and splitter keep nothing across white space, and lower-case, so a
     text's ids are those of its words in turn. Words are encoded many at a time, between separators.
@@ -51,6 +53,8 @@ class WordBPE:
         import public_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path if os.path.exists(path) else public_tokenizers.path(path))
+        self.words, self.ids, self.at = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.place = np.zeros(0, np.int64)
         (self.separator,) = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +83,28 @@ class WordBPE:
         cut = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, MARK, r"\1 \2 "))
         at = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        ids, id_at = ragged(*self._encode_words(words), coded.indices.to_numpy())
+        codes = coded.indices.to_numpy()
+        ids, id_at = ragged(*self._table(coded.dictionary, codes), self.place[codes])
         return ids, id_at[at - at[0]]
 
+    def _table(self, words: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words kept and of this batch's other words, and in ``place`` where each of ``words`` is among them."""
+        found = pc.index_in(words, value_set=self.words)
+        is_new = found.is_null().to_numpy(zero_copy_only=False)
+        self.place = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        self.place[is_new] = len(self.words) + np.arange(is_new.sum())
+        others = words.filter(pa.array(is_new))
+        flat, at = self._encode_words(others.to_pylist())
+        ids, ends = np.concatenate([self.ids, flat.astype(np.uint32)]), np.concatenate([self.at, self.at[-1] + at[1:]])
+        # words met twice in a batch are likely to come again
+        again = np.flatnonzero(np.bincount(codes, minlength=len(words))[is_new] > 1)
+        if len(self.words) + len(again) > KEPT:
+            self.words, self.ids, self.at = words.slice(0, 0), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        kept, kept_at = ragged(flat, at, again)
+        self.words = pa.concat_arrays([self.words, others.take(pa.array(again))])
+        self.ids, self.at = np.concatenate([self.ids, kept.astype(np.uint32)]), np.concatenate([self.at, self.at[-1] + kept_at[1:]])
+        return ids, ends
+
 
 @lru_cache(maxsize=2)
 def codec(path: str = VOCABULARY) -> WordBPE:

@@ -83,6 +83,19 @@ def test_words_encode_like_whole_texts(texts):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [WORDS.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_kept_words_change_no_ids(monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcé字🙂'-.") for _ in range(r.randint(1, 6))) for _ in range(400)]
+    batches = [[" ".join(r.choices(words, k=r.randint(0, 40))) for _ in range(20)] for _ in range(12)]
+    for kept in (400_000, 90):
+        monkeypatch.setattr(T, "KEPT", kept)
+        codec = T.WordBPE()
+        for texts in batches:
+            ids, at = codec.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [WORDS.encode(t, add_special_tokens=False).ids for t in texts]
+            assert len(codec.words) <= max(kept, 400)
+
+
 def test_files_read_back(spark, docs, no_docs):
     manifest = T.write(docs, scratch.new_path(spark, "t"), length=64)
     got = sorted(T.read_documents(manifest).collect())
