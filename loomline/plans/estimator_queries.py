@@ -14,6 +14,7 @@ from ..operators import text as X
 from ..operators import volatility as V
 from ..sources import panel as src
 from .panel_queries import DAILY, TRADE, daily
+from .partial_sql import Z, partialled, projections, result
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -139,7 +140,9 @@ def embedding_cosine(spark, d):
     return v.join(F.broadcast(seed)).select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("seed")), 6).alias("cosine"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(p|div|br|li|tr|h[1-6]|article|section)\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM a)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')) AS text FROM b""")
 def strip_html(spark, d):
     return src.table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
@@ -332,33 +335,76 @@ def lp_simple(spark, d):
     return out.select("code", "h", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"), "n")
 
 
-@query()
+REGION = f"""region_trade AS (SELECT r_name AS code, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(count(*) AS DOUBLE) AS orders
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2), s AS (SELECT code, date, ln(revenue) AS y, ln(orders) AS x FROM region_trade)"""
+
+
+def rounded(df, digits: int = 5):
+    """An estimate's columns, rounded as in its SQL."""
+    return df.withColumns({c: F.round(c, digits - 2 * (c == "t")) for c in ("beta", "se", "t", "lo", "hi") if c in df.columns})
+
+
+def _lp(hs, n_lags, se, most, source="s", extra=(), regressors=None, target="x"):
+    design, xs = projections(source, hs, n_lags, extra)
+    return f"d AS ({design}), " + partialled("q", "d", ["code", "h"], "dy", regressors(xs) if regressors else xs, target)
+
+
+@query(f"WITH {REGION}, {_lp(list(range(9)), 2, 'hac', 9)} {result('q', ['code', 'h'], 'hac', 'h + 1', 9)}")
 def lp_hac(spark, d):
-    return G.lp_hac(logs(src.region_wide(spark, d)), ["code"], "date", "y", "x", list(range(9)), 2)
+    return rounded(G.lp_hac(logs(src.region_wide(spark, d)), ["code"], "date", "y", "x", list(range(9)), 2))
 
 
-@query()
+@query(f"WITH {REGION}, {_lp([0, 1, 2, 4], 6, 'hc0', 0)} {result('q', ['code', 'h'], 'hc0')}")
 def la_lp(spark, d):
-    return G.la_lp(logs(src.region_wide(spark, d)), ["code"], "date", "y", "x", [0, 1, 2, 4], 2)
+    return rounded(G.la_lp(logs(src.region_wide(spark, d)), ["code"], "date", "y", "x", [0, 1, 2, 4], 2))
 
 
-@query()
+def _asymmetric_sql():
+    design, xs = projections("c", [0, 1, 2, 4], 1)
+    parts = [partialled(f"q_{s}", "e", ["code", "h"], "dy", ["pos", "neg", *xs[1:]], s) for s in ("pos", "neg")]
+    out = " UNION ALL ".join(f"SELECT *, '{s}' AS sign FROM ({result(f'q_{s}', ['code', 'h'], 'hac', 'h + 1', 5)})" for s in ("pos", "neg"))
+    return f"WITH {REGION}, c AS (SELECT code, date, y, x - avg(x) OVER (PARTITION BY code) AS x FROM s), d AS ({design}), e AS (SELECT *, greatest(x, 0) AS pos, least(x, 0) AS neg FROM d WHERE x IS NOT NULL), {', '.join(parts)} {out}"
+
+
+@query(_asymmetric_sql())
 def lp_asymmetric(spark, d):
     w = Window.partitionBy("code")
     t = logs(src.region_wide(spark, d)).withColumn("x", F.col("x") - F.avg("x").over(w))
-    return G.lp_asymmetric(t, ["code"], "date", "y", "x", [0, 1, 2, 4], 1)
+    return rounded(G.lp_asymmetric(t, ["code"], "date", "y", "x", [0, 1, 2, 4], 1))
 
 
-@query()
+def _state_sql():
+    design, xs = projections("c", [0, 1, 2, 4], 1, ("z",))
+    parts = [partialled(f"q_{s}", "e", ["code", "h"], "dy", ["high", "low", *xs[1:]], s) for s in ("high", "low")]
+    out = " UNION ALL ".join(f"SELECT *, '{s}' AS state FROM ({result(f'q_{s}', ['code', 'h'], 'hac', 'h + 1', 5)})" for s in ("high", "low"))
+    rows = " AND ".join(f"{c} IS NOT NULL" for c in ("dy", "z", *xs))
+    return f"""WITH {REGION}, c AS (SELECT *, lag(y) OVER (PARTITION BY code ORDER BY date) AS z FROM s), d AS ({design}), f AS (SELECT *, 1 / (1 + exp(-3 * (z - avg(z) OVER w) / stddev_pop(z) OVER w)) AS f FROM d WHERE {rows} WINDOW w AS (PARTITION BY code, h)),
+e AS (SELECT *, f * x AS high, (1 - f) * x AS low FROM f), {', '.join(parts)} {out}"""
+
+
+@query(_state_sql())
 def lp_state_dependent(spark, d):
     t = logs(src.region_wide(spark, d)).withColumn("z", F.lag("y", 1).over(Window.partitionBy("code").orderBy("date")))
-    return G.lp_state(t, ["code"], "date", "y", "x", "z", [0, 1, 2, 4], 1)
+    return rounded(G.lp_state(t, ["code"], "date", "y", "x", "z", [0, 1, 2, 4], 1))
 
 
-@query()
+def _iv_sql():
+    design, xs = projections("c", [0, 1, 2, 4], 1, ("z",))
+    rest, keys = xs[1:], ["code", "h"]
+    rows = " AND ".join(f"{c} IS NOT NULL" for c in ("dy", "z", *xs))
+    first = partialled("a", "e", keys, "x", ["z", *rest], "z")
+    f = result("a", keys, "hac", "h + 1", 5).replace("n FROM (SELECT", "n, beta * beta / greatest(v, 0) AS f FROM (SELECT", 1)
+    second = partialled("q", "g", keys, "dy", ["fitted", *rest], "fitted")
+    main = result("q", keys, "hac", "h + 1", 5)
+    return f"""WITH {REGION}, c AS (SELECT *, ln(exp(x) + 10 * (month(date) % 3)) AS z FROM s), d AS ({design}), e AS (SELECT * FROM d WHERE {rows}), {first},
+g AS (SELECT e.*, e.x - a.u AS fitted FROM e JOIN a ON e.code = a.code AND e.h = a.h AND e.date = a.date), {second}
+SELECT m.*, round(f.f, 3) AS first_stage_f FROM ({main}) m JOIN ({f}) f ON m.code = f.code AND m.h = f.h"""
+
+
+@query(_iv_sql())
 def lp_iv(spark, d):
     t = logs(src.region_wide(spark, d)).withColumn("z", F.log(F.exp("x") + 10 * (F.month("date") % 3)))
-    return G.lp_iv(t, ["code"], "date", "y", "x", "z", [0, 1, 2, 4], 1)
+    return rounded(G.lp_iv(t, ["code"], "date", "y", "x", "z", [0, 1, 2, 4], 1)).withColumn("first_stage_f", F.round("first_stage_f", 3))
 
 
 @query()
@@ -371,14 +417,30 @@ def panel_lp_dk(spark, d):
     return G.panel_lp(logs(src.trade_wide(spark, d)), "code", "date", "y", "x", [0, 1, 2, 4], 2, se="dk")
 
 
-@query()
+def _mean_group_sql():
+    design, xs = projections("s", [0, 1, 2, 4], 1)
+    one = f"SELECT code, h, any_value(beta) AS beta, any_value(n) AS n FROM q GROUP BY 1, 2"
+    return f"""WITH {LOGS}, d AS ({design}), {partialled("q", "d", ["code", "h"], "dy", xs, "x")}, o AS ({one}), g AS (SELECT h, avg(beta) AS beta, stddev_samp(beta) / sqrt(count(*)) AS se, count(*) AS n FROM o WHERE n >= 30 GROUP BY 1)
+SELECT h, round(beta, 5) AS beta, round(se, 5) AS se, n, round(beta - {Z} * se, 5) AS lo, round(beta + {Z} * se, 5) AS hi FROM g"""
+
+
+@query(_mean_group_sql())
 def mean_group_lp(spark, d):
-    return G.mean_group(logs(src.trade_wide(spark, d)), "code", "date", "y", "x", [0, 1, 2, 4], 1)
+    return rounded(G.mean_group(logs(src.trade_wide(spark, d)), "code", "date", "y", "x", [0, 1, 2, 4], 1))
 
 
-@query()
+def _cce_sql():
+    design, xs = projections("c", [0, 1, 2], 1, ("m_y", "m_x"))
+    cols = ["dy", *xs, "m_y", "m_x"]
+    rows = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    within = ", ".join(f"{c} - avg({c}) OVER w AS {c}" for c in cols)
+    return f"""WITH {LOGS}, c AS (SELECT *, avg(y) OVER w AS m_y, avg(x) OVER w AS m_x FROM s WINDOW w AS (PARTITION BY date)), d AS ({design}), e AS (SELECT code, h, date, {within} FROM d WHERE {rows} WINDOW w AS (PARTITION BY code, h)),
+{partialled("q", "e", ["h"], "dy", cols[1:], "x", ("code", "date"), constant=False)} {result("q", ["h"], "cluster")}"""
+
+
+@query(_cce_sql())
 def cce_lp(spark, d):
-    return G.cce_lp(logs(src.trade_wide(spark, d)), "code", "date", "y", "x", [0, 1, 2], 1)
+    return rounded(G.cce_lp(logs(src.trade_wide(spark, d)), "code", "date", "y", "x", [0, 1, 2], 1))
 
 
 UNITS = """q AS (SELECT o_custkey AS unit, CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) - 1 AS INT) AS time, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS y, min(CASE WHEN o_orderpriority LIKE '1%' AND o_totalprice > 200000 THEN 1 END) AS hit FROM orders GROUP BY 1, 2),
@@ -432,9 +494,14 @@ def lp_did(spark, d):
     return G.lp_did(units(spark, d), "unit", "time", "y", "treat_time", [-2, -1, 0, 1, 2])
 
 
-@query()
+_ADF = f"""WITH {REGION}, a AS (SELECT code, date, lag(y) OVER w AS level, y - lag(y) OVER w AS dy FROM s WINDOW w AS (PARTITION BY code ORDER BY date)), b AS (SELECT *, lag(dy, 1) OVER w AS l1, lag(dy, 2) OVER w AS l2 FROM a WINDOW w AS (PARTITION BY code ORDER BY date)),
+{partialled("q", "b", ["code"], "dy", ["level", "l1", "l2"], "level")}"""
+
+
+@query(f"{_ADF} SELECT code, beta AS rho, t AS adf_t, n FROM ({result('q', ['code'], 'classical')})")
 def adf_test(spark, d):
-    return T.adf(logs(src.region_wide(spark, d)), ["code"], "date", "y", 2)
+    a = T.adf(logs(src.region_wide(spark, d)), ["code"], "date", "y", 2)
+    return a.select("code", F.round("rho", 5).alias("rho"), F.round("adf_t", 3).alias("adf_t"), "n")
 
 
 @query(f"""WITH {LOGS}, q AS (SELECT code, date, y - avg(y) OVER (PARTITION BY code) AS q FROM s), r AS (SELECT *, sum(q) OVER w AS p, lag(q) OVER w AS q1, lag(q, 2) OVER w AS q2, lag(q, 3) OVER w AS q3, lag(q, 4) OVER w AS q4 FROM q WINDOW w AS (PARTITION BY code ORDER BY date)),
@@ -444,14 +511,18 @@ def kpss_test(spark, d):
     return T.kpss(logs(src.trade_wide(spark, d)), ["code"], "date", "y").withColumn("kpss", F.round("kpss", 6))
 
 
-@query()
+@query(f"""WITH {REGION}, b AS (SELECT code, date, y, lag(y, 8) OVER w AS x0, lag(y, 9) OVER w AS x1, lag(y, 10) OVER w AS x2, lag(y, 11) OVER w AS x3 FROM s WINDOW w AS (PARTITION BY code ORDER BY date)),
+{partialled("q", "b", ["code"], "y", ["x0", "x1", "x2", "x3"], "x0")} SELECT code, date, round(b.y - q.u, 5) AS trend, round(q.u, 5) AS cycle FROM q JOIN b USING (code, date)""")
 def hamilton_filter(spark, d):
-    return T.hamilton(logs(src.region_wide(spark, d)), ["code"], "date", "y")
+    h = T.hamilton(logs(src.region_wide(spark, d)), ["code"], "date", "y")
+    return h.select("code", "date", F.round("trend", 5).alias("trend"), F.round("cycle", 5).alias("cycle"))
 
 
-@query()
+@query(f"""WITH {REGION}, b AS (SELECT code, date, y, x, lag(y, 1) OVER w AS y1, lag(y, 2) OVER w AS y2, lag(x, 1) OVER w AS x1, lag(x, 2) OVER w AS x2 FROM s WINDOW w AS (PARTITION BY code ORDER BY date)), c AS (SELECT * FROM b WHERE y2 IS NOT NULL AND x2 IS NOT NULL),
+{partialled("r", "c", ["code"], "y", ["y1", "y2"], "y1")}, {partialled("u", "c", ["code"], "y", ["y1", "y2", "x1", "x2"], "y1")}, a AS (SELECT code, sum(u * u) AS r FROM r GROUP BY 1), e AS (SELECT code, sum(u * u) AS u, count(*) - 5 AS df2 FROM u GROUP BY 1)
+SELECT code, round((a.r - e.u) / 2 / (e.u / df2), 4) AS f_stat, CAST(2 AS INT) AS df1, df2 FROM a JOIN e USING (code)""")
 def granger_causality(spark, d):
-    return T.granger(logs(src.region_wide(spark, d)), ["code"], "date", "y", "x", 2)
+    return T.granger(logs(src.region_wide(spark, d)), ["code"], "date", "y", "x", 2).withColumn("f_stat", F.round("f_stat", 4))
 
 
 @query()
