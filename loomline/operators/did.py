@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +48,117 @@ def imputation(df: DataFrame) -> DataFrame:
     treated = df.where("time >= treat_time").join(units, "unit", "left").join(times, "time", "left").join(F.broadcast(mu))
     effect = F.col("y") - F.col("mu") - F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))
     return treated.groupBy((F.col("time") - F.col("treat_time")).alias("e")).agg(F.avg(effect).alias("att"), F.count("*").alias("n"))
+
+
+def bootstrap_weights(units: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """unit, b, w: for each replicate how often a unit is drawn, a Poisson number of mean 1 from a hash of both.
+
+    As unit counts grow this is drawing as many units as there are with replacement; no unit's rows are copied.
+    """
+    u = F.pmod(F.xxhash64(F.col("unit"), F.col("b"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    steps, total, term = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 16):
+        total += term
+        steps = steps + F.when(u >= total, 1).otherwise(0)
+        term /= k
+    return units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", steps).where("w > 0")
+
+
+def att_gt_inference(df: DataFrame, draws: int = 200, alpha: float = 0.10, seed: int = 0) -> DataFrame:
+    """g, t, att, n, se, lo, hi: ``att_gt`` with the deviation and percentiles of replicates that draw units again.
+
+    A replicate is a weight per unit, so all of them are one aggregation of cells by replicate, cohort and date.
+    """
+    w = bootstrap_weights(df.select("unit").distinct(), draws, seed)
+    cells = df.join(w, "unit").groupBy("b", F.col("treat_time").alias("g"), F.col("time").alias("t")).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
+    treated, never = cells.where("g is not null"), cells.where("g is null").select("b", "t", F.col("m").alias("c"))
+    base = treated.select("b", "g", F.col("t").alias("s"), F.col("m").alias("m0")).where("s = g - 1").join(never.select("b", F.col("t").alias("s"), F.col("c").alias("c0")), ["b", "s"]).drop("s")
+    again = treated.where("t >= g - 1").join(never, ["b", "t"]).join(base, ["b", "g"]).select("g", "t", ((F.col("m") - F.col("m0")) - (F.col("c") - F.col("c0"))).alias("v"))
+    spread = again.groupBy("g", "t").agg(F.stddev_pop("v").alias("se"), F.percentile("v", [alpha / 2, 1 - alpha / 2]).alias("p")).select("g", "t", "se", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    return att_gt(df).join(spread, ["g", "t"], "left")
+
+
+def placebo_switchers(df: DataFrame, before: int = 1) -> DataFrame:
+    """The effect of switches on the change from t - before - 1 to t - before, which should be none, as in ``switchers``."""
+    w = Window.partitionBy("unit").orderBy("time")
+    d = df.withColumn("d", F.when(F.col("treat_time") <= F.col("time"), 1).otherwise(0))
+    d = d.select("time", (F.lag("y", before).over(w) - F.lag("y", before + 1).over(w)).alias("dy"), F.lag("d", 1).over(w).alias("was"), "d").where("dy is not null and was = 0")
+    per = d.groupBy("time").agg(F.avg(F.when(F.col("d") == 1, F.col("dy"))).alias("s"), F.count(F.when(F.col("d") == 1, 1)).alias("n"), F.avg(F.when(F.col("d") == 0, F.col("dy"))).alias("c"))
+    return per.where("s is not null and c is not null").agg((F.sum((F.col("s") - F.col("c")) * F.col("n")) / F.sum("n")).alias("did"), F.sum("n").alias("n_switchers"))
+
+
+def simplex(gram: np.ndarray, cross: np.ndarray, ridge: float = 0.0, rounds: int = 20_000) -> np.ndarray:
+    """Weights of at least 0 that sum to 1 with the least w'(G + ridge I)w / 2 - c'w: accelerated projected steps."""
+    g = gram + ridge * np.eye(len(gram))
+    step = 1 / max(float(np.linalg.eigvalsh(g)[-1]), 1e-300)
+    w = v = np.full(len(g), 1 / len(g))
+    for k in range(rounds):
+        x = v - step * (g @ v - cross)
+        # the nearest point of the simplex
+        s = np.sort(x)[::-1]
+        held = s - (np.cumsum(s) - 1) / np.arange(1, len(s) + 1)
+        rho = int(np.flatnonzero(held > 0)[-1])
+        new = np.maximum(x - (s[: rho + 1].sum() - 1) / (rho + 1), 0)
+        v = new + k / (k + 3) * (new - w)
+        done = np.abs(new - w).max() < 1e-13
+        w = new
+        if done and k > 50:
+            break
+    return w
+
+
+def synthetic_control(df: DataFrame, treated: str, start: int) -> tuple[DataFrame, DataFrame]:
+    """(unit, weight), and (time, y, synthetic, gap): the mix of never-treated units closest to one unit before ``start``.
+
+    The units' cross-products over earlier dates are one aggregation of pairs of donors; a donor pool's square of them
+    reaches the driver.
+    """
+    d = df.where((F.col("unit") == treated) | F.col("treat_time").isNull()).select("unit", "time", "y")
+    early = d.where(F.col("time") < start)
+    pairs = early.alias("a").join(early.alias("b"), "time").groupBy(F.col("a.unit").alias("i"), F.col("b.unit").alias("j")).agg(F.sum(F.col("a.y") * F.col("b.y")).alias("s")).toPandas()
+    names = sorted(set(pairs.i) - {treated})
+    table = pairs.pivot(index="i", columns="j", values="s").fillna(0.0)
+    w = simplex(table.loc[names, names].to_numpy(), table.loc[names, treated].to_numpy())
+    weights = df.sparkSession.createDataFrame([(u, float(x)) for u, x in zip(names, w, strict=True)], f"unit {dict(df.dtypes)['unit']}, weight double")
+    mix = d.join(F.broadcast(weights), "unit").groupBy("time").agg(F.sum(F.col("weight") * F.col("y")).alias("synthetic"))
+    own = d.where(F.col("unit") == treated).select("time", "y")
+    return weights, own.join(mix, "time").withColumn("gap", F.col("y") - F.col("synthetic"))
+
+
+def synthetic_did(df: DataFrame, cohort: int) -> tuple[float, DataFrame, DataFrame]:
+    """(effect, unit weights, time weights) of one cohort against never-treated units of a balanced panel.
+
+    Unit weights fit the cohort's mean path before treatment up to a level, with a ridge of the size of first
+    differences' noise; time weights fit later means of the controls. Both come from moments of demeaned data.
+    """
+    d = df.where((F.col("treat_time") == cohort) | F.col("treat_time").isNull())
+    post = F.col("time") >= cohort
+    sizes = d.agg(F.count_distinct(F.when(F.col("treat_time") == cohort, F.col("unit"))).alias("n_tr"), F.count_distinct(F.when(post, F.col("time"))).alias("t_post")).first()
+    own = d.where(F.col("treat_time") == cohort).groupBy("time").agg(F.avg("y").alias("y")).withColumn("unit", F.lit(None).cast(dict(df.dtypes)["unit"]))
+    rows = d.where("treat_time is null").select("unit", "time", "y").unionByName(own.select("unit", "time", "y"))
+    w = Window.partitionBy("unit").orderBy("time")
+    change = rows.where((F.col("time") < cohort) & F.col("unit").isNotNull()).select((F.col("y") - F.lag("y").over(w)).alias("c"))
+    noise = change.agg(F.var_samp("c")).first()[0] or 0.0
+    level = Window.partitionBy("unit")
+    pre = rows.where(F.col("time") < cohort).withColumn("v", F.col("y") - F.avg("y").over(level)).withColumn("u", F.coalesce(F.col("unit").cast("string"), F.lit("\0treated")))
+    g = pre.alias("a").join(pre.alias("b"), "time").groupBy(F.col("a.u").alias("i"), F.col("b.u").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("s")).toPandas().pivot(index="i", columns="j", values="s")
+    donors = [u for u in sorted(g.index) if u != "\0treated"]
+    zeta = np.sqrt(noise) * (sizes["n_tr"] * sizes["t_post"]) ** 0.25
+    n_pre = pre.select("time").distinct().count()
+    omega = simplex(g.loc[donors, donors].to_numpy(), g.loc[donors, "\0treated"].to_numpy(), zeta**2 * n_pre)
+    # the other way round: dates before treatment fit the controls' later mean, up to a level
+    later = rows.where((F.col("time") >= cohort) & F.col("unit").isNotNull()).groupBy("unit").agg(F.avg("y").alias("y")).withColumn("time", F.lit(None).cast(dict(df.dtypes)["time"]))
+    early = rows.where((F.col("time") < cohort) & F.col("unit").isNotNull()).select("unit", "time", "y").unionByName(later.select("unit", "time", "y"))
+    date = Window.partitionBy("time")
+    early = early.withColumn("v", F.col("y") - F.avg("y").over(date)).withColumn("k", F.coalesce(F.col("time").cast("string"), F.lit("\0post")))
+    h = early.alias("a").join(early.alias("b"), "unit").groupBy(F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("s")).toPandas().pivot(index="i", columns="j", values="s")
+    dates = [k for k in sorted(h.index) if k != "\0post"]
+    lam = simplex(h.loc[dates, dates].to_numpy(), h.loc[dates, "\0post"].to_numpy(), 1e-12 * float(np.trace(h.to_numpy())))
+    spark = df.sparkSession
+    units = spark.createDataFrame([(u, float(x)) for u, x in zip(donors, omega, strict=True)], "u string, weight double")
+    times = spark.createDataFrame([(k, float(x)) for k, x in zip(dates, lam, strict=True)], "k string, weight double")
+    path = rows.withColumn("k", F.col("time").cast("string")).join(F.broadcast(times.withColumnRenamed("weight", "lam")), "k", "left")
+    per = path.groupBy("unit").agg((F.avg(F.when(F.col("time") >= cohort, F.col("y"))) - F.sum(F.col("lam") * F.col("y"))).alias("change"))
+    per = per.withColumn("u", F.col("unit").cast("string")).join(F.broadcast(units), "u", "left")
+    effect = per.agg(F.sum(F.when(F.col("unit").isNull(), F.col("change"))) - F.sum(F.col("weight") * F.col("change"))).first()[0]
+    return float(effect), units, times
