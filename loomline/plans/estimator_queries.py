@@ -258,9 +258,17 @@ def labour_transitions(spark, d):
     return V.transitions(m, "month", "origin", "destination")
 
 
-@query()
+_STATES = "(SELECT unnest(['F', 'O', 'P']) AS {0}) {0}"
+_CHAIN = f"""m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, o_orderstatus AS j FROM orders), g AS (SELECT month, i, j, count(*) AS n FROM m WHERE i IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT month, i, j, n / CAST(sum(n) OVER (PARTITION BY month, i) AS DOUBLE) AS p FROM g), q AS (SELECT DISTINCT CAST(date_trunc('quarter', month) AS DATE) AS g FROM p),
+f AS (SELECT q.g, k.k, i.i, j.j, CASE WHEN EXISTS (SELECT 1 FROM p z WHERE z.month = CAST(q.g + to_months(CAST(k.k AS INT)) AS DATE)) THEN coalesce(p.p, CAST(i.i = j.j AS DOUBLE)) ELSE CAST(i.i = j.j AS DOUBLE) END AS p
+ FROM q CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) k CROSS JOIN {_STATES.format("i")} CROSS JOIN {_STATES.format("j")} LEFT JOIN p ON p.month = CAST(q.g + to_months(CAST(k.k AS INT)) AS DATE) AND p.i = i.i AND p.j = j.j)"""
+
+
+@query(f"""WITH {_CHAIN} SELECT a.g, a.i AS origin, c.j AS destination, round(sum(a.p * b.p * c.p), 8) AS p FROM f a JOIN f b ON a.g = b.g AND a.k = 0 AND b.k = 1 AND a.j = b.i JOIN f c ON b.g = c.g AND c.k = 2 AND b.j = c.i GROUP BY 1, 2, 3""")
 def labour_quarterly_chain(spark, d):
-    return V.chained(labour_transitions(spark, d), "month", "origin", "destination", ["F", "O", "P"], src.period(F.col("month"), "quarter"))
+    chain = V.chained(labour_transitions(spark, d), "month", "origin", "destination", ["F", "O", "P"], src.period(F.col("month"), "quarter"))
+    return chain.withColumn("p", F.round("p", 8))
 
 
 FORECASTS = f"""{TRADE}, f AS (SELECT code, date, orders AS realized, lag(orders) OVER w AS m1, avg(orders) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS m2, lag(orders, 12) OVER w AS m3, row_number() OVER w AS k FROM trade WINDOW w AS (PARTITION BY code ORDER BY date)),
@@ -525,9 +533,11 @@ def granger_causality(spark, d):
     return T.granger(logs(src.region_wide(spark, d)), ["code"], "date", "y", "x", 2).withColumn("f_stat", F.round("f_stat", 4))
 
 
-@query()
+@query(f"""WITH {DAILY}, b AS (SELECT code, date, lead(rv) OVER w AS next, rv AS d1, CASE WHEN count(rv) OVER (PARTITION BY code ORDER BY date ROWS 4 PRECEDING) = 5 THEN avg(rv) OVER (PARTITION BY code ORDER BY date ROWS 4 PRECEDING) END AS d5,
+CASE WHEN count(rv) OVER (PARTITION BY code ORDER BY date ROWS 21 PRECEDING) = 22 THEN avg(rv) OVER (PARTITION BY code ORDER BY date ROWS 21 PRECEDING) END AS d22 FROM daily WINDOW w AS (PARTITION BY code ORDER BY date)),
+{partialled("q", "b", ["code"], "next", ["d1", "d5", "d22"], "d1")} {result("q", ["code"], "hac", "5", 5)}""")
 def har_regression(spark, d):
-    return T.har(daily(spark, d), ["code"], "date", "rv")
+    return rounded(T.har(daily(spark, d), ["code"], "date", "rv"))
 
 
 @query()
