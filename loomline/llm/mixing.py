@@ -43,7 +43,7 @@ def budgets(sizes: DataFrame, share: float, weights: tuple[float, ...], most: in
     return d.select("src", "source_size", F.least("cap", F.coalesce(F.col("weight") * open_level, F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: int = 2, seed: str = "mix", bucket_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: int = 2, seed: str = "mix", bucket_rows: int = 4_000) -> DataFrame:
     """How many words of each row the mix takes.
 
     Returns one row per input row: the id and source columns, size (words), source_size, target (of
@@ -79,7 +79,8 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: each row of ``docs`` once per epoch that takes it, its columns unchanged.
 
     The row at the end of a source's budget keeps only the words that the budget still takes. A row of
-    no words is taken as often as its source is passed whole.
+    no words is taken as often as its source is passed whole. Null texts stay null, null ids and sources count
+    like any; rows that repeat are taken each; an empty table gives an empty result.
     """
     plan = mix(docs, id_col, text_col, source_col, **options)
     # rows are told apart by id and size; repeats of both share one plan row's epochs and cuts in order

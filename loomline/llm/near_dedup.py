@@ -425,7 +425,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``cluster`` keeps: one document of each component."""
+    """The rows of ``docs``, all columns, that ``cluster`` keeps: one document of each component.
+
+    Null, empty and wordless texts are linked with nothing and stay. Rows that repeat an id stay or go together;
+    ids and ties, an empty table and very long texts are as in ``cluster``.
+    """
     kept = cluster(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__id")).distinct()
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
 

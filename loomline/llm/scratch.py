@@ -1,7 +1,7 @@
 """Intermediate tables and files in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests, a laptop) a
-temporary one is made and set, which is right only because everything then runs on one machine.
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset and Spark runs on one machine
+(tests, a laptop) a temporary one is made and set; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI, without a trailing slash."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -67,4 +69,7 @@ def open_fs(uri: str):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    # Hadoop's names of stores that pyarrow knows by others
+    scheme, rest = uri.split("://", 1)
+    own = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return fs.FileSystem.from_uri(f"{own}://{rest}")
