@@ -149,9 +149,9 @@ def response_peaks(spark, d):
     return M.peaks(i, ["code"], "beta").select("code", "peak_h", r6("peak")).join(low, "code")
 
 
-@query(f"WITH {TRADE} SELECT code, date, round((revenue - sum(revenue * orders) OVER w / sum(orders) OVER w) / 7, 2) AS value FROM trade WINDOW w AS (PARTITION BY date)")
+@query(f"WITH {TRADE} SELECT code, date, round((revenue - sum(revenue * orders) OVER w / sum(orders) OVER w) / CAST(7.1234567 AS DOUBLE), 3) AS value FROM trade WINDOW w AS (PARTITION BY date)")
 def weighted_demean(spark, d):
-    return src.trade_wide(spark, d).select("code", "date", F.round(M.weighted_demeaned("revenue", "orders", ["date"]) / 7, 2).alias("value"))
+    return src.trade_wide(spark, d).select("code", "date", F.round(M.weighted_demeaned("revenue", "orders", ["date"]) / 7.1234567, 3).alias("value"))
 
 
 @query(f"""WITH {TRADE} SELECT code, date, CASE WHEN date BETWEEN DATE '1996-10-01' AND DATE '1999-01-01' THEN 'late' WHEN date BETWEEN DATE '1996-01-01' AND DATE '1997-01-01' THEN 'early' ELSE 'other' END AS regime FROM trade""")
