@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries; each has QUERIES and ORACLE.
-MODULES = ("exact_dedup", "langid", "pii", "near_dedup", "token_files", "ann", "html_text", "warc", "byte_bpe", "mixing", "chat_format", "word_runs")
+MODULES = ("exact_dedup", "langid", "pii", "near_dedup", "token_files", "ann", "html_text", "warc", "byte_bpe", "mixing", "chat_format", "turn_trie", "word_runs")
 
 
 def _gather(what: str) -> dict:
