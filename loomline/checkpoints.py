@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in ``spark.checkpoint.dir``, set here only where it is unset and everything runs on one machine."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, set here only where it is unset and everything runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
