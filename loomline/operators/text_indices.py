@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import UNSPACED, by_language, index_quarterly, normalise, term_pattern
@@ -144,6 +144,35 @@ def by_group(records: DataFrame, name: str, lexicon: Lexicon, language: Column,
     return s.groupBy(group, F.date_trunc("quarter", "date").cast("date").alias("date")).agg(F.avg("score").alias("value"), F.count("*").alias("n_docs"))
 
 
+def having(records: DataFrame, equal: dict[str, str] | None = None, containing: dict[str, str] | None = None) -> DataFrame:
+    """Records whose metadata have the given values (in any case of letters), or hold them; those that lack one go.
+
+    What sets the indices of official documents apart: their language, type of act, chapter or title.
+    """
+    of = lambda k: F.lower(F.col("metadata")[k])
+    tests = [of(k) == v.lower() for k, v in (equal or {}).items()] + [F.contains(of(k), F.lit(v.lower())) for k, v in (containing or {}).items()]
+    for t in tests:
+        records = records.where(t)
+    return records
+
+
+def district_panel(records: DataFrame, name: str, lexicon: Lexicon, language: Column, district: str, section: str, only: str | None = None, normalised: bool = True, negation: bool | None = None) -> DataFrame:
+    """date (quarter), district, value, n_docs, n_sections: a named index of each district, against its own history.
+
+    ``only`` keeps one section's records. Every district has all quarters between its first and last; value is null in those
+    without a record, which have no documents. Records without a district go.
+    """
+    r = records.where(F.col(district).isNotNull())
+    if only is not None:
+        r = r.where(F.col(section) == only)
+    s = scored(r, name, lexicon, language, negation=negation).withColumn("quarter", F.date_trunc("quarter", "date").cast("date"))
+    q = s.groupBy(F.col(district).alias("district"), F.col("quarter").alias("date")).agg(F.avg("score").alias("value"), F.count("*").alias("n_docs"), F.count_distinct(section).alias("n_sections"))
+    span = q.groupBy("district").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select("district", F.explode(F.sequence("lo", "hi", F.expr("interval 3 month"))).alias("date"))
+    d = span.join(q, ["district", "date"], "left").na.fill(0, ["n_docs", "n_sections"])
+    w = Window.partitionBy("district")
+    return d.withColumn("value", F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_pop("value").over(w))) if normalised else d
+
+
 def actor_months(records: DataFrame, actor: Column) -> DataFrame:
     """One record per actor and month with its posts' texts in order of date, as short posts have too few sentences.
 

@@ -57,3 +57,15 @@ def test_lexicon_table_language_and_groups(spark):
     assert len(z) == 4 and z[2] is None and abs(sum(v for v in z if v is not None)) < 1e-12
     posts = N.actor_months(docs, F.col("district")).collect()
     assert len(posts) == 4 and {r.actor for r in posts} == {"a", "b"}
+
+
+def test_corpora_and_districts(spark):
+    rows = [("2020-01-05", "labour uncertain. rest", "en", "A", "labor"), ("2020-02-05", "nothing", "en", "A", "prices"), ("2020-08-05", "labour uncertain", "en", "A", "labor"), ("2020-01-05", "labour uncertain", "de", "Ab", "labor"), ("2020-01-05", "labour uncertain", None, None, "labor")]
+    d = spark.createDataFrame(rows, "date string, text string, lang string, district string, section string").withColumn("date", F.to_date("date")).withColumn("url", F.lit("u")).withColumn("metadata", F.create_map(F.lit("lang"), "lang", F.lit("district"), "district"))
+    count = lambda *a, **k: N.having(d, *a, **k).count()
+    assert (count({"lang": "EN"}), count({"district": "a"}), count(containing={"district": "A"}), count({"lang": "en"}, {"district": "b"}), count({"act": "x"}), count()) == (3, 3, 4, 0, 0, 5)
+    lex = {"en": {"labor_domain": ["labour"], "uncertainty_tone": ["uncertain"]}}
+    got = {(r.district, str(r.date)): tuple(r)[2:] for r in N.district_panel(d, "bbui", lex, F.col("lang"), "district", "section", normalised=False).collect()}
+    assert got == {("A", "2020-01-01"): (0.25, 2, 2), ("A", "2020-04-01"): (None, 0, 0), ("A", "2020-07-01"): (1.0, 1, 1), ("Ab", "2020-01-01"): (1.0, 1, 1)}
+    z = {(r.district, str(r.date)): r.value for r in N.district_panel(d, "bbui", lex, F.col("lang"), "district", "section", only="labor").collect()}
+    assert z == {("A", "2020-01-01"): -1.0, ("A", "2020-04-01"): None, ("A", "2020-07-01"): 1.0, ("Ab", "2020-01-01"): None}
