@@ -249,12 +249,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, that ``dedup`` keeps: nulls, empty texts, repeated rows, null ids and an
     empty table as there. Of rows with the same id and the same normalised text any one stays."""
     name = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
-    kept = dedup(docs, id_col, text_col, **options).where("kept").select(name.alias("__id"), F.col("text_sha256").alias("__own"))
+    kept = dedup(docs, id_col, text_col, **options).where("kept").select(name.alias("id"), F.col("text_sha256").alias("own"))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
     # of rows that repeat both, one; the join then finds the window's partitions, so texts are shuffled once
-    repeat = Window.partitionBy("__id", "__own").orderBy(F.lit(1))
-    rows = docs.withColumns({"__id": name, "__own": sha}).withColumn("__n", F.row_number().over(repeat)).where("__n = 1")
-    return rows.join(kept, ["__id", "__own"], "left_semi").select(*docs.columns)
+    repeat = Window.partitionBy("id", "own").orderBy(F.lit(1))
+    rows = docs.select(F.struct("*").alias("row"), name.alias("id"), sha.alias("own")).withColumn("n", F.row_number().over(repeat)).where("n = 1")
+    return rows.join(kept, ["id", "own"], "left_semi").select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

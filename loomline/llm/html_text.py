@@ -34,10 +34,14 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg annotation annotation-xml".split())
 #: Those of them that don't end the block that they stand in.
 RAW_INLINE = RAW - {"title", "noframes", "xmp"}
+#: Raw elements of other markup, which a slash closes at once; a slash that ends an attribute's bare value doesn't.
+FOREIGN = frozenset({"svg", "annotation", "annotation-xml"})
+CLOSED = re.compile(r"(?<!/)/\s*\Z")
+BARE_VALUE = re.compile(r"=\s*[^\s\"'=]+/\s*\Z")
 #: Opening one of the first ends an open one of the second.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where a quote isn't closed to the page's end, a tag ends at the next >.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PIECE = re.compile(r"[A-Za-z]+")
 
@@ -88,7 +92,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, marks = m[2].lower(), m[3] or m[4] or ""
+        if tag in FOREIGN and CLOSED.search(marks) and not BARE_VALUE.search(marks):
+            continue
         if tag in RAW and not m[1]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -108,7 +114,6 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     pass
             continue
         close(ENDS.get(tag, {"p"}))
-        marks = m[3] or m[4] or ""
         if tag not in VOID and not marks.rstrip().endswith("/"):
             names = [p.lower() for a in NAMES.findall(marks) for p in PIECE.findall(" ".join(a))]
             stack.append((tag, (tag, *names)))

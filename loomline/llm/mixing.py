@@ -84,17 +84,18 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     plan = mix(docs, id_col, text_col, source_col, **options)
     # rows are told apart by id and size; repeats of both share one plan row's epochs and cuts in order
-    one = Window.partitionBy(id_col, "__size").orderBy(F.xxhash64(text_col))
-    plan = plan.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), "epochs", "cut").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__size").orderBy("epochs", "cut")))
-    rows = docs.withColumn("__size", word_count(F.col(text_col))).withColumn("__n", F.row_number().over(one))
-    joined = rows.join(plan, rows[id_col].eqNullSafe(plan["__id"]) & (rows["__size"] == plan["__size"]) & (rows["__n"] == plan["__n"]))
+    repeat = lambda *order: F.row_number().over(Window.partitionBy("id", "size").orderBy(*order))
+    plan = plan.select(F.col(id_col).alias("plan_id"), F.col("size").alias("plan_size"), "epochs", "cut", F.row_number().over(Window.partitionBy(id_col, "size").orderBy("epochs", "cut")).alias("plan_n"))
+    text = F.col("row")[text_col]
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).withColumn("size", word_count(text)).withColumn("n", repeat(F.xxhash64(text)))
+    joined = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("size") == F.col("plan_size")) & (F.col("n") == F.col("plan_n")))
     start = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("cut").cast("string"), F.lit("}+"))
-    partial = (F.col("cut") > 0) & (F.col("cut") < rows["__size"])
-    whole = F.col("epochs") + F.when((F.col("cut") > 0) & (F.col("cut") == rows["__size"]), 1).otherwise(0)
+    partial = (F.col("cut") > 0) & (F.col("cut") < F.col("size"))
+    whole = F.col("epochs") + F.when((F.col("cut") > 0) & (F.col("cut") == F.col("size")), 1).otherwise(0)
     parts = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.when(partial, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    out = joined.withColumn("__part", F.explode(parts))
-    text = F.when(F.col("__part"), F.call_function("regexp_extract", F.col(text_col), start, F.lit(0))).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else rows[c] for c in docs.columns])
+    out = joined.withColumn("part", F.explode(parts))
+    cut = F.when(F.col("part"), F.call_function("regexp_extract", text, start, F.lit(0))).otherwise(text)
+    return out.select(*[(cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,8 +430,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Null, empty and wordless texts are linked with nothing and stay. Rows that repeat an id stay or go together;
     ids and ties, an empty table and very long texts are as in ``cluster``.
     """
-    kept = cluster(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    kept = cluster(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,3 +122,46 @@ def test_records_are_reachable_by_offset(pages, spark):
             f.seek(h.at)
             headers, block = warc.parse(gzip.decompress(f.read(h.length)))
         assert headers["warc-record-id"] == h.record_id and warc.payload(block) == (PAGE % ((h.page_id,) * 3)).encode()
+
+
+def test_elements_that_close_themselves_and_empty_comments():
+    text = lambda page: [b[1] for b in H.blocks(page)]
+    assert text("<p>x<svg/>y</p><p>next</p>") == ["xy", "next"] and text('<p>x<svg class="a" />y</p>z') == ["xy", "z"] and text("<p>x<svg><path/>no</svg>y</p>z") == ["xy", "z"]
+    assert text("<math><annotation/><mi>a</mi></math><p>b") == ["a", "b"] and text("x<svg a=b/>no</svg>y") == ["xy"] and text("x<svg hidden/>y") == ["xy"]
+    assert text("a<script/>no</script>b") == ["ab"]
+    assert text("<p>a<!-->b</p>c") == ["ab", "c"] and text("a<!--->b") == ["ab"] and text("a<!-- x --!>b<!-- > -- -->c") == ["abc"] and text("a<!----->b<!---->c") == ["abc"] and text("a<!-- b") == ["a"]
+
+
+def plain_blocks(page):
+    """Texts between block tags of pages of plain tags, cut by hand."""
+    out, held, i = [], "", 0
+    while i < len(page):
+        if page[i] != "<":
+            held += page[i]
+            i += 1
+            continue
+        end = page.index(">", i)
+        tag = page[i + 1 : end].strip("/").split(" ")[0].lower()
+        i = end + 1
+        if tag == "br":
+            held += " "
+        elif tag not in ("b", "i", "a", "span"):
+            out.append(held)
+            held = ""
+    return [" ".join(x.split()) for x in [*out, held] if x.split()]
+
+
+def test_blocks_against_cutting_by_hand():
+    import random
+
+    r = random.Random(9)
+    for _ in range(300):
+        bits = [r.choice(["<p>", "</p>", "<div id=x>", "</div>", "<li>", "<b>", "</b>", "<br>", "<a href=u>", "</a>", "<h1>", "</h1>", "<hr/>", "word", " ", "\n", "two words", "é"]) for _ in range(r.randint(0, 40))]
+        assert [b[1] for b in H.blocks("".join(bits))] == plain_blocks("".join(bits))
+
+
+def test_very_long_text_in_one_block(model, pages):
+    long = "<article><p>" + "word " * 100_000 + "</p></article>"
+    row = pages.where("page_id = 103").withColumn("html", F.lit(long))
+    (got,) = H.extract(row, model).collect()
+    assert got.n_chars == 499_999
