@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.stats import chi2_sf
 
 
+def equal_length(draws: DataFrame, by: list[str], chain: str, order: str) -> DataFrame:
+    """The chains of each group cut to the length of its shortest, as their first draws by ``order``."""
+    own = Window.partitionBy(*by, chain)
+    d = draws.withColumn("__place", F.row_number().over(own.orderBy(order))).withColumn("__own", F.count("*").over(own))
+    return d.withColumn("__most", F.min("__own").over(Window.partitionBy(*by))).where("__place <= __most").drop("__place", "__own", "__most")
+
+
 def gelman_rubin(draws: DataFrame, by: list[str], chain: str, value: str) -> DataFrame:
     """by, r_hat, within, between over chains of equal length."""
     c = draws.groupBy(*by, chain).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count("*").alias("n"))

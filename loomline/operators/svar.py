@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import f_sf
+from .confidence_set import stationary_blocks
 from .regression import dot, moments, square
 from .series import moving_average, var_ols
+from .state_space import in_order
 
 
 def lag_criteria(df: DataFrame, order: str, cols: list[str], most: int = 8) -> DataFrame:
@@ -137,27 +139,70 @@ def by_variance(df: DataFrame, order: str, cols: list[str], regime: str, p: int
 def history(df: DataFrame, order: str, cols: list[str], p: int, impact: np.ndarray) -> DataFrame:
     """order, column, shock, value: what each shock since the first residual adds to each column at each date.
 
-    A date's part is the sum over earlier dates of a response times a shock: a join of residuals with responses on the lag.
+    A date's part is the system's own step from the parts of the dates before, plus the date's shock: residuals are read in order, with
+    p dates' parts carried along.
     """
     constant, a, _, _ = var_ols(df, order, cols, p)
     u = residuals(df, order, cols, p, constant, a)
-    inv = np.linalg.inv(impact)
-    shocks = u.select(order, F.row_number().over(Window.orderBy(order)).alias("__t"), *[dot([F.lit(float(v)) for v in inv[j]], F.array(*[F.col(f"u_{c}") for c in cols])).alias(f"e{j}") for j in range(len(cols))])
-    t = shocks.count()
-    psi = moving_average(a, t - 1) @ impact
-    spark = df.sparkSession
-    responses = spark.createDataFrame([(h, c, j, float(psi[h, i, j])) for h in range(t) for i, c in enumerate(cols) for j in range(len(cols))], "h int, column string, j int, psi double")
-    long = shocks.select("__t", F.posexplode(F.array(*[f"e{j}" for j in range(len(cols))])).alias("j", "e"))
-    ends = shocks.select(order, F.col("__t").alias("__s"))
-    later = long.join(responses, "j").withColumn("__s", F.col("__t") + F.col("h")).groupBy("__s", "column", "j").agg(F.sum(F.col("psi") * F.col("e")).alias("value"))
-    return later.join(ends, "__s").select(order, "column", F.element_at(F.array(*map(F.lit, cols)), F.col("j") + 1).alias("shock"), "value")
+    n, inv = len(cols), np.linalg.inv(impact)
+
+    def step(past: np.ndarray, r: dict) -> tuple[np.ndarray, tuple]:
+        shocks = inv @ np.array([r[f"u_{c}"] for c in cols])
+        now = sum(a[k] @ past[k] for k in range(p)) + impact * shocks
+        return np.concatenate([now[None], past[:-1]]), (now.ravel(),)
+
+    d = u.select(F.lit(1).alias("system"), order, *[f"u_{c}" for c in cols])
+    parts = in_order(d, ["system"], [order], "parts array<double>", lambda: np.zeros((p, n, n)), step)
+    long = parts.select(order, F.posexplode("parts").alias("i", "value"))
+    names = F.array(*map(F.lit, cols))
+    return long.select(order, F.get(names, F.floor(F.col("i") / n).cast("int")).alias("column"), F.get(names, F.col("i") % n).alias("shock"), "value")
+
+
+def replicates(df: DataFrame, order: str, cols: list[str], p: int, identify: Callable[[np.ndarray, np.ndarray], np.ndarray], draws: int = 200, horizon: int = 12, block: float | None = None, seed: int = 0) -> DataFrame:
+    """draw, h, response, shock, value of systems estimated from resampled rows: blocks of dates, each with its lags.
+
+    A draw takes rows of the design by blocks of about T^(1/3) dates (or ``block``), as often as ``stationary_blocks`` has them; its system comes from
+    one aggregation of weighted products by draw. Nothing but those moments is gathered. Draws whose covariance can't be factored go.
+    """
+    n, xs = len(cols), [f"x{i}" for i in range(len(cols) * p)]
+    w = Window.orderBy(order)  # one row a date
+    d = df.select(order, *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(cols)]).dropna()
+    d = d.select(order, *[f"y{i}" for i in range(n)], *[F.lag(f"y{i}", k + 1).over(w).alias(f"x{k * n + i}") for k in range(p) for i in range(n)]).dropna()
+    d = d.withColumn("taken", F.row_number().over(w).cast("long"))
+    sizes = d.agg(F.count("*").alias("n")).withColumn("system", F.lit(1))
+    length = F.lit(float(block)) if block else F.greatest(F.lit(1.0), F.round(F.cbrt("n")))
+    counts = stationary_blocks(sizes, ["system"], draws, length, seed).groupBy("replicate", "taken").agg(F.count("*").cast("double").alias("times"))
+    z = [F.lit(1.0), *map(F.col, xs), *[F.col(f"y{i}") for i in range(n)]]
+    size = len(z)
+    sums = [F.sum(z[i] * z[j] * F.col("times")).alias(f"m{i}_{j}") for i in range(size) for j in range(i, size)]
+    m = counts.join(d, "taken").groupBy("replicate").agg(F.sum("times").alias("t"), *sums).select("replicate", "t", F.array(*[f"m{i}_{j}" for i in range(size) for j in range(i, size)]).alias("m"))
+    k = 1 + n * p
+
+    @F.pandas_udf("array<double>")
+    def paths(moments_: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for v, count in zip(moments_, t, strict=True):
+            a = square(v, k + n)
+            try:
+                beta = np.linalg.solve(a[:k, :k], a[:k, k:])
+                sigma = (a[k:, k:] - beta.T @ a[:k, k:]) / (count - k)
+                coefficients = np.array([beta[1 + j * n : 1 + (j + 1) * n].T for j in range(p)])
+                out.append((moving_average(coefficients, horizon) @ identify(coefficients, sigma)).ravel().tolist())
+            except np.linalg.LinAlgError:
+                out.append(None)
+        return pd.Series(out)
+
+    names = F.array(*map(F.lit, cols))
+    long = m.select((F.col("replicate").cast("long") - 1).alias("draw"), F.posexplode(paths("m", "t")).alias("i", "value"))
+    return long.select("draw", F.floor(F.col("i") / (n * n)).cast("int").alias("h"), F.get(names, F.floor(F.col("i") / n).cast("int") % n).alias("response"), F.get(names, F.col("i") % n).alias("shock"), "value")
 
 
 def bootstrap(df: DataFrame, order: str, cols: list[str], p: int, identify: Callable[[np.ndarray, np.ndarray], np.ndarray], draws: int = 200, horizon: int = 12, kind: str = "recursive", seed: int = 0) -> DataFrame:
     """draw, h, response, shock, value of re-estimated systems: residuals drawn again (recursive), with random signs
     (wild), or in blocks of about T^(1/3) dates (block).
 
-    A task gets the system's dates times columns, which a VAR has few of. Draws whose covariance can't be factored go.
+    Each draw is a series made from the one before it in time, so this is the exception that reads the whole system in a task: its dates
+    times columns, which a VAR has few of. ``replicates`` needs no such thing. Draws whose covariance can't be factored go.
     """
     rows = df.select(order, *cols).dropna().orderBy(order).toPandas()[cols].to_numpy(float)  # one row a date
     n, t = len(cols), len(rows) - p

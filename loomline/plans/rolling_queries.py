@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import confidence_set as C
 from ..operators import quantile as Q
 from ..operators import rolling as R
+from ..operators import seasonal as A
 from ..sources import panel as src
 from .estimator_queries import FORECASTS, REGION, REGIONS, forecasts, logs, system
 
@@ -113,3 +114,9 @@ def rolling_spillover(spark, d):
 @query()
 def rolling_spillover_regions(spark, d):
     return R.rolling_spillover(system(spark, d), [], "date", REGIONS, 48).select("date", "total", *[F.col("net")[i].alias(c) for i, c in enumerate(REGIONS)])
+
+
+@query()
+def seasonal_adjustment(spark, d):
+    m = src.region_wide(spark, d).select("code", "date", "revenue")
+    return A.x11(m, ["code"], "date", "revenue").withColumn("month", F.month("date"))

@@ -86,13 +86,13 @@ def historical_parts(spark, d):
 
 @query()
 def bootstrap_bands(spark, d):
-    draws = V.bootstrap(system(spark, d), "date", PAIR, 1, lambda a, s: np.linalg.cholesky(s), 60, 6)
+    draws = V.replicates(system(spark, d), "date", PAIR, 1, lambda a, s: np.linalg.cholesky(s), 60, 6)
     return V.bands(draws, ["h", "response", "shock"], 0.10)
 
 
 @query()
 def joint_bands(spark, d):
-    draws = V.bootstrap(system(spark, d), "date", PAIR, 1, lambda a, s: np.linalg.cholesky(s), 60, 6, "wild")
+    draws = V.replicates(system(spark, d), "date", PAIR, 1, lambda a, s: np.linalg.cholesky(s), 60, 6, seed=1)
     return V.joint_bands(draws.where("shock = 'AFRICA'"), ["h", "response"])
 
 
@@ -140,10 +140,10 @@ def _chains(spark, d):
     return e.select("par", "chain", F.row_number().over(w).alias("i"), "value")
 
 
-@query(f"""WITH {CHAINS}, g AS (SELECT par, chain, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM c WHERE i <= 40 GROUP BY 1, 2), s AS (SELECT par, max(n) * var_samp(m) AS b, avg(v) AS w, max(n) AS n FROM g GROUP BY 1)
+@query(f"""WITH {CHAINS}, k AS (SELECT *, count(*) OVER (PARTITION BY par, chain) AS own FROM c), l AS (SELECT *, min(own) OVER (PARTITION BY par) AS most FROM k), g AS (SELECT par, chain, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM l WHERE i <= most GROUP BY 1, 2), s AS (SELECT par, max(n) * var_samp(m) AS b, avg(v) AS w, max(n) AS n FROM g GROUP BY 1)
 SELECT par, round(sqrt(((n - 1) / CAST(n AS DOUBLE) * w + b / n) / w), 6) AS r_hat, round(w, 4) AS within, round(b, 4) AS between FROM s""")
 def gelman_rubin(spark, d):
-    return H.gelman_rubin(_chains(spark, d).where("i <= 40"), ["par"], "chain", "value").select("par", r("r_hat", 6), r("within", 4), r("between", 4))
+    return H.gelman_rubin(H.equal_length(_chains(spark, d), ["par"], "chain", "i"), ["par"], "chain", "value").select("par", r("r_hat", 6), r("within", 4), r("between", 4))
 
 
 @query(f"""WITH {CHAINS}, n AS (SELECT par, chain, i, value, count(*) OVER (PARTITION BY par, chain) AS n FROM c), e AS (SELECT *, 0 AS e FROM n WHERE i <= greatest(2, floor(CAST(0.1 AS DOUBLE) * n)) UNION ALL SELECT *, 1 FROM n WHERE i > n - greatest(2, floor(CAST(0.5 AS DOUBLE) * n))),

@@ -122,3 +122,25 @@ def test_threshold_is_the_best_of_all(spark):
         if min(high.sum(), (~high).sum()) >= 0.15 * 119:
             cells.append((ssr, q))
     assert np.isclose(got.ssr, min(cells)[0]) and np.isclose(got.threshold, min(cells)[1]) and got.delay == 1
+
+
+@pytest.mark.parametrize("p,block", [(1, None), (2, 3.0)])
+def test_replicates_of_resampled_rows(frame, p, block):
+    import hashlib
+
+    draw = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+    got = {(r.draw, r.h, r.response, r.shock): r.value for r in svar.replicates(frame, "t", ["a", "b"], p, lambda a, s: np.linalg.cholesky(s), 5, 3, block, 7).collect()}
+    y = system()[["a", "b"]].to_numpy()
+    x = np.column_stack([np.ones(len(y) - p), *[y[p - k - 1 : len(y) - k - 1] for k in range(p)]])
+    t, y = len(x), y[p:]
+    length = block or round(t ** (1 / 3))
+    assert len(got) == 5 * 4 * 4
+    for k in range(5):
+        at = []
+        for place in range(1, t + 1):
+            new = place == 1 or draw("new", 7, 1, k + 1, place) < 1 / length
+            at.append(int(draw("at", 7, 1, k + 1, place) * t) if new else (at[-1] + 1) % t)
+        beta = np.linalg.lstsq(x[at], y[at], rcond=None)[0]
+        u = y[at] - x[at] @ beta
+        path = series.moving_average(np.array([beta[1 + 2 * j : 3 + 2 * j].T for j in range(p)]), 3) @ np.linalg.cholesky(u.T @ u / (t - 1 - 2 * p))
+        assert all(np.isclose(got[k, h, "ab"[i], "ab"[j]], path[h, i, j]) for h in range(4) for i in range(2) for j in range(2))
