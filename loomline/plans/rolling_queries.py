@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
+from ..operators import bayes as B
 from ..operators import confidence_set as C
 from ..operators import quantile as Q
+from ..operators import regression as G
 from ..operators import rolling as R
 from ..operators import seasonal as A
+from ..operators import smoothing as M
+from ..operators import svar as V
 from ..sources import panel as src
 from .estimator_queries import FORECASTS, REGION, REGIONS, forecasts, logs, system
+from .partial_sql import partialled, projections
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +127,46 @@ def rolling_spillover_regions(spark, d):
 def seasonal_adjustment(spark, d):
     m = src.region_wide(spark, d).select("code", "date", "revenue")
     return A.x11(m, ["code"], "date", "revenue").withColumn("month", F.month("date"))
+
+
+@query(f"""WITH {REGION}, w AS (SELECT code, sum(revenue) / sum(sum(revenue)) OVER () AS weight FROM region_trade GROUP BY 1), g AS (SELECT code, date, y - lag(y) OVER (PARTITION BY code ORDER BY date) AS growth FROM s),
+p AS (SELECT code, date, growth * weight AS part FROM g JOIN w USING (code) WHERE growth IS NOT NULL), t AS (SELECT date, sum(part) AS whole FROM p GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM w)), c AS (SELECT code AS component, covar_pop(part, whole) AS phi, count(*) AS n FROM p JOIN t USING (date) GROUP BY 1)
+SELECT component, round(phi, 6) AS phi, round(phi / sum(phi) OVER (), 6) AS share, n FROM c""")
+def shapley_variance(spark, d):
+    m = src.region_wide(spark, d)
+    total = m.agg(F.sum("revenue").alias("all"))  # one row
+    weights = m.groupBy("code").agg(F.sum("revenue").alias("own")).join(F.broadcast(total)).select("code", (F.col("own") / F.col("all")).alias("weight"))
+    growth = logs(m).select("code", "date", (F.col("y") - F.lag("y").over(Window.partitionBy("code").orderBy("date"))).alias("growth"))
+    return M.shapley_variance(growth.join(weights, "code"), [], "date", "code", "growth", "weight").select("component", r("phi", 6), r("share", 6), "n")
+
+
+@query()
+def smooth_projection(spark, d):
+    return M.smooth_responses(G.lp_hac(logs(src.region_wide(spark, d)), ["code"], "date", "y", "x", list(range(9)), 2), ["code"])
+
+
+@query()
+def minnesota_mean(spark, d):
+    constant, a, _ = B.minnesota_mean(B.var_moments(system(spark, d), "date", REGIONS, 2))
+    rows = [(c, k + 1, other, float(a[k, i, j])) for k in range(2) for i, c in enumerate(REGIONS) for j, other in enumerate(REGIONS)] + [(c, 0, "constant", float(constant[i])) for i, c in enumerate(REGIONS)]
+    return spark.createDataFrame(rows, "equation string, lag int, term string, coefficient double")
+
+
+@query()
+def minnesota_bands(spark, d):
+    draws = B.posterior_responses(spark, REGIONS[:2], B.minnesota_posterior(B.var_moments(system(spark, d), "date", REGIONS[:2], 2)), 500, 8)
+    return V.bands(draws, ["h", "response", "shock"])
+
+
+_HAC = " + ".join(f"CASE WHEN {l} <= h + 1 THEN 2 * (1 - {l} / CAST(h + 2 AS DOUBLE)) * coalesce(sum(q * q{l}), 0) ELSE 0 END" for l in range(1, 4))
+_DESIGN, _XS = projections("s", [0, 1, 2], 1)
+
+
+@query(f"""WITH {REGION}, d AS ({_DESIGN}), {partialled("p", "d", ["code", "h"], "dy", _XS, "x")}, l AS (SELECT *, {', '.join(f"lag(q, {l}) OVER w AS q{l}" for l in range(1, 4))} FROM p WINDOW w AS (PARTITION BY code, h ORDER BY date)),
+v AS (SELECT code, h, any_value(beta) AS beta, any_value(n) AS n, sqrt(sum(q * q) + {_HAC}) AS se FROM l GROUP BY 1, 2) SELECT code, h, round(beta, 5) AS beta, round(se, 5) AS se, round(beta / se, 3) AS t, n FROM v""")
+def table_function(spark, d):
+    """Local projections called from SQL."""
+    tables.register(spark)
+    logs(src.region_wide(spark, d)).createOrReplaceTempView("loomline_regions")
+    out = spark.sql("SELECT * FROM lp_hac(TABLE(SELECT * FROM loomline_regions) PARTITION BY code ORDER BY (date), 'code', 'date', 'y', 'x', 2, 1)")
+    return out.select("code", "h", r("beta"), r("se"), r("t", 3), "n")
