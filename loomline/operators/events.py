@@ -37,6 +37,13 @@ def quarterly(events: DataFrame, how: str = "sum", least_confidence: float = 0.0
     return calendar(q, ["code", "kind"], "date", 3).join(q, ["code", "kind", "date"], "left").na.fill(0.0, ["value"])
 
 
+def relative_to_output(series: DataFrame, output: DataFrame) -> DataFrame:
+    """Amounts of events over the quarter's output (code, date, output) of their country; counts and signs stay. Without an output, null."""
+    d = series.join(output.select("code", "date", F.col("output").cast("double").alias("output")), ["code", "date"], "left")
+    value = F.when(F.col("kind").isin(*COUNTED, *INDICATED), F.col("value")).otherwise(F.try_divide("value", "output"))
+    return d.select("code", "kind", "date", value.alias("value"))
+
+
 def surprise_filter(events: DataFrame, budget_months: dict[str, int], decay: float = 0.25, floor: float = 0.1) -> DataFrame:
     """Confidence of anticipated events times ``decay``; those under ``floor`` go. Anticipated: a profile of several
     entries or a later quarter, or in the code's budget month on a target that budgets have; unless marked unanticipated."""

@@ -11,11 +11,12 @@ from ..sources.panel import period
 LAST = ("urate", "short_rate")
 
 
-def monthly_to_quarterly(panel: DataFrame, last: tuple[str, ...] = LAST) -> DataFrame:
-    """Quarterly means of monthly values, or the last value of rates."""
+def monthly_to_quarterly(panel: DataFrame, last: tuple[str, ...] = LAST, whole: bool = False) -> DataFrame:
+    """Quarterly means of monthly values, or the last value of rates; with ``whole`` null in a series' quarters without any."""
     known = panel.where("value is not null").withColumn("q", period(F.col("date"), "quarter"))
     value = F.when(F.first("variable").isin(*last), F.max_by("value", "date")).otherwise(F.avg("value"))
-    return known.groupBy("code", "variable", "q").agg(value.alias("value")).select("code", F.col("q").alias("date"), "variable", "value")
+    q = known.groupBy("code", "variable", "q").agg(value.alias("value")).select("code", F.col("q").alias("date"), "variable", "value")
+    return calendar(q, ["code", "variable"], "date", 3).join(q, ["code", "variable", "date"], "left").select("code", "date", "variable", "value") if whole else q
 
 
 def complete_quarter_mean(panel: DataFrame) -> DataFrame:

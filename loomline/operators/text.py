@@ -87,10 +87,13 @@ def density(text: Column, terms: list[str]) -> Column:
     return F.try_divide(count_terms(text, terms), F.sqrt(n_words(text).cast("double")))
 
 
-def index_quarterly(scored: DataFrame, how: str = "mean", date: str = "date", score: str = "score") -> DataFrame:
-    """date (quarter), value over the whole calendar: null in quarters without documents. how: mean, max, or dispersion
-    (sample deviation, 0 for one document)."""
-    agg = {"mean": F.avg(score), "max": F.max(score), "dispersion": F.coalesce(F.stddev_samp(score), F.lit(0.0))}[how]
+def index_quarterly(scored: DataFrame, how: str = "mean", date: str = "date", score: str = "score", weight: str | None = None) -> DataFrame:
+    """date (quarter), value over the whole calendar: null in quarters without documents. how: mean, max, dispersion
+    (sample deviation, 0 for one document), or sum_weighted (of scores times ``weight``, 1 where that is null)."""
+    if (how == "sum_weighted") != (weight is not None):
+        raise ValueError("sum_weighted, and only that, takes a weight")
+    weighted = F.sum(F.col(score) * F.coalesce(F.col(weight).cast("double"), F.lit(1.0))) if weight else None
+    agg = {"mean": F.avg(score), "max": F.max(score), "dispersion": F.coalesce(F.stddev_samp(score), F.lit(0.0)), "sum_weighted": weighted}[how]
     q = scored.where(F.col(score).isNotNull()).groupBy(period(F.col(date), "quarter").alias("date")).agg(agg.alias("value"))
     span = q.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr("interval 3 month"))).alias("date"))
     return span.join(q, "date", "left")
@@ -103,9 +106,13 @@ def normalise(index: DataFrame, how: str = "zscore") -> DataFrame:
     return index.withColumn("value", F.try_divide(v - F.avg(v).over(w), F.stddev_pop(v).over(w)) if how == "zscore" else F.try_divide(v * 100, F.avg(v).over(w)))
 
 
-def sparsity(records: DataFrame) -> DataFrame:
-    """Documents and mean words per quarter."""
-    return records.groupBy(period(F.col("date"), "quarter").alias("date")).agg(F.count("*").alias("n_docs"), F.avg(n_words(F.col("text"))).alias("mean_words"))
+def sparsity(records: DataFrame, whole: bool = False) -> DataFrame:
+    """Documents and mean words per quarter; with ``whole`` also for the quarters between that have no document: 0, and null words."""
+    q = records.groupBy(period(F.col("date"), "quarter").alias("date")).agg(F.count("*").alias("n_docs"), F.avg(n_words(F.col("text"))).alias("mean_words"))
+    if not whole:
+        return q
+    span = q.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr("interval 3 month"))).alias("date"))
+    return span.join(q, "date", "left").na.fill(0, ["n_docs"])
 
 
 #: What a unit is worth, in billions and in basis points.

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from .. import plugins
 from ..checkpoints import shared_dir
+from ..operators import events as E
 from ..operators import regression as G
+from ..operators import resample as R
+from ..operators import text as X
 from ..sources import files
 from ..sources import panel as src
 from ..streaming import measures
-from .estimator_queries import LOGS, RECORDS, logs, records
+from .estimator_queries import EVENTS, LOGS, RECORDS, logs, narrative, records
 from .panel_queries import EMPLOYMENT, LONG, TRADE, VINTAGES, employment
 
 QUERIES: dict = {}
@@ -188,3 +191,52 @@ def specification_curve(spark, d):
 SELECT series_id, vintage_date, round(forecast, 4) AS forecast, round(forecast - lag(forecast) OVER (ORDER BY vintage_date), 4) AS revision FROM f""")
 def forecast_revisions(spark, d):
     return plugins.forecast_revisions(src.vintages(spark, d), lambda s: s.iloc[-3:].mean()).select("series_id", "vintage_date", r("forecast"), r("revision"))
+
+
+#: Every fourth event, by its subtarget, is spread over three quarters.
+_ENTRIES = f"{EVENTS}, en AS (SELECT *, unnest(CASE WHEN subtarget = 'Wages' THEN [{{'d': date, 'w': CAST(0.5 AS DOUBLE)}}, {{'d': CAST(date + INTERVAL 3 MONTH AS DATE), 'w': 0.3}}, {{'d': CAST(date + INTERVAL 6 MONTH AS DATE), 'w': 0.2}}] ELSE [{{'d': date, 'w': CAST(1 AS DOUBLE)}}] END) AS e FROM ev)"
+
+
+def _spread(spark, d):
+    entry = lambda months, w: F.struct(F.add_months("date", months).alias("date"), F.lit(w).alias("weight"))
+    profile = F.when(F.col("subtarget") == "Wages", F.array(entry(0, 0.5), entry(3, 0.3), entry(6, 0.2)))
+    return narrative(spark, d).withColumn("profile", profile)
+
+
+@query(f"WITH {_ENTRIES} SELECT event_id, e.d AS date, e.w AS weight FROM en")
+def event_profiles(spark, d):
+    return E.schedule(_spread(spark, d)).select("event_id", F.col("when").alias("date"), "weight")
+
+
+@query(f"""WITH {_ENTRIES}, {TRADE}, g AS (SELECT code, CAST(date_trunc('quarter', date) AS DATE) AS date, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS output FROM trade GROUP BY 1, 2),
+q AS (SELECT code, kind, CAST(date_trunc('quarter', e.d) AS DATE) AS date, sum(CASE WHEN kind IN ('macropru', 'structural') THEN sign ELSE sign * magnitude * e.w END) AS v, arg_min(sign, (e.d, sign)) AS first_ FROM en WHERE target IN ('tax', 'both') AND confidence >= CAST(0.3 AS DOUBLE) GROUP BY 1, 2, 3),
+cal AS (SELECT code, kind, CAST(unnest(generate_series(min(date), max(date), INTERVAL 3 MONTH)) AS DATE) AS date FROM q GROUP BY 1, 2)
+SELECT code, kind, date, round(CASE kind WHEN 'macropru' THEN coalesce(v, 0) WHEN 'structural' THEN coalesce(first_, 0) ELSE coalesce(v, 0) / output END, 8) AS value FROM cal LEFT JOIN q USING (code, kind, date) LEFT JOIN g USING (code, date)""")
+def events_over_output(spark, d):
+    output = src.trade_wide(spark, d, "quarter").select("code", "date", F.col("revenue").alias("output"))
+    q = E.quarterly(_spread(spark, d), "sum", 0.3, "tax")
+    return E.relative_to_output(q, output).withColumn("value", F.round("value", 8) + 0.0)
+
+
+@query(f"""WITH {RECORDS}, q AS (SELECT CAST(date_trunc('quarter', date) AS DATE) AS date, count(*) AS n_docs, avg(len(regexp_extract_all(text, '\\S+'))) AS mean_words FROM records WHERE month(date) > 3 GROUP BY 1)
+SELECT date, coalesce(n_docs, 0) AS n_docs, round(mean_words, 6) AS mean_words FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 3 MONTH)) AS DATE) AS date FROM q) LEFT JOIN q USING (date)""")
+def sparsity_calendar(spark, d):
+    """Quarters without a record are reported too: here records of the first one are left out."""
+    return X.sparsity(records(spark, d).where("month(date) > 3"), whole=True).withColumn("mean_words", F.round("mean_words", 6))
+
+
+@query(f"""WITH {RECORDS}, s AS (SELECT date, len(regexp_extract_all(text, '\\S+')) AS score, CASE WHEN lang = 'en' THEN 2.5 WHEN lang IS NOT NULL THEN 0.5 END AS magnitude FROM records), q AS (SELECT CAST(date_trunc('quarter', date) AS DATE) AS date, sum(score * coalesce(magnitude, 1)) AS value FROM s WHERE score IS NOT NULL GROUP BY 1)
+SELECT date, round(CAST(value AS DOUBLE), 4) AS value FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 3 MONTH)) AS DATE) AS date FROM q) LEFT JOIN q USING (date)""")
+def index_weighted(spark, d):
+    """Scores times the records' magnitudes, 1 where there is none."""
+    magnitude = F.when(F.col("lang") == "en", 2.5).when(F.col("lang").isNotNull(), 0.5)
+    s = records(spark, d).where("text IS NOT NULL").select("date", X.n_words(F.col("text")).alias("score"), magnitude.alias("magnitude"))
+    return X.index_quarterly(s, "sum_weighted", weight="magnitude").withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+@query(f"""WITH {LONG}, k AS (SELECT * FROM panel WHERE month(date) NOT IN (4, 5, 6)), q AS (SELECT code, variable, CAST(date_trunc('quarter', date) AS DATE) AS date, avg(value) AS value FROM k GROUP BY 1, 2, 3),
+cal AS (SELECT code, variable, CAST(unnest(generate_series(min(date), max(date), INTERVAL 3 MONTH)) AS DATE) AS date FROM q GROUP BY 1, 2) SELECT code, date, variable, round(value, 4) AS value FROM cal LEFT JOIN q USING (code, variable, date)""")
+def quarterly_calendar(spark, d):
+    """Quarters without a month stay as null ones: here second quarters have none."""
+    p = src.trade_panel(spark, d).where("month(date) NOT IN (4, 5, 6)")
+    return R.monthly_to_quarterly(p, whole=True).withColumn("value", F.round("value", 4))
