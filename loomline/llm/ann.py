@@ -205,8 +205,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     Returns query_id, rank (from 1), vec_id, score (cosine in double precision of the original vectors),
     ties in order of vec_id. Vectors that are null, zero, or hold null or non-finite components take no
-    part, nor do those of another length than most have. Rows that repeat an id are one. Other columns
-    aren't carried. An empty table, or one without queries, gives an empty result.
+    part, nor do those of another length than most have. Of rows that repeat an id the one with the smallest
+    vector, component by component, stands. Other columns aren't carried. An empty table, or one without queries, gives an empty result.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -235,6 +235,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "asks")), box, pa.array(cell_of(p, tree))], names=["id", "v", "asks", "p", "cell"])
 
     index = scratch.write_table(own.mapInArrow(place, "id long, v array<double>, asks boolean, p array<double>, cell long"), "ann-index")
+    repeated = scratch.write_table(index.groupBy("id").count().where("count > 1").select("id"), "ann-repeated")
+    if not repeated.isEmpty():
+        least = F.min(F.struct("v", "asks", "p", "cell")).alias("r")
+        once = index.join(repeated, "id", "left_semi").groupBy("id").agg(least).select("id", "r.*")
+        index = scratch.write_table(index.join(repeated, "id", "left_anti").unionByName(once), "ann-index")
     sides = [f(F.get("p", F.lit(j))).alias(f"{f.__name__}{j}") for f in (F.min, F.max) for j in range(m)]
     # one row per cell, of which there are at most sample / LEAST
     boxes = {r["cell"]: r for r in index.groupBy("cell").agg(F.count("*").alias("n"), *sides).collect()}
@@ -246,7 +251,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     pieces = (F.coalesce(F.create_map(*crowded)[F.col("cell")], F.lit(1)) if crowded else F.lit(1)).cast("long")
 
     rows = index.select("cell", F.pmod(F.xxhash64("id"), pieces).alias("chunk"), F.lit(False).alias("query"), "id", "v", F.lit(0.0).alias("bound"))
-    queries = index.where("asks").select("id", "v", "p", "cell").dropDuplicates(["id"])
+    queries = index.where("asks").select("id", "v", "p", "cell")
 
     def search(asked: DataFrame) -> DataFrame:
         both = rows.join(F.broadcast(asked.select("cell").distinct()), "cell", "left_semi").unionByName(asked)

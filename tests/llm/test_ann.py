@@ -76,3 +76,20 @@ def test_test_stops_the_search_where_vectors_have_structure():
         share.append(piece.verified / 50 / n)
         assert hits >= 0.95 * 250
     assert share[1] < 0.6 * share[0] < 0.15
+
+
+def test_repeated_ids_are_one_row(spark):
+    # the smallest vector of an id stands: of 1 that is [0.9, 0.5]
+    d = table(spark, [[1, 0], [0.99, 0.1], [0.9, 0.5], [0, 1], [1, 0.05], [1, 0.05]], [0, 1, 1, 3, 4, 4])
+    got = by_query(ann.nearest(d, F.col("vec_id") == 0, k=3))
+    assert [i for i, _ in got[0]] == [4, 1, 3] and math.isclose(got[0][1][1], 0.9 / math.hypot(0.9, 0.5), rel_tol=1e-6)
+    r = np.random.default_rng(3)
+    ids = np.concatenate([np.arange(300), np.full(150, 7), np.arange(0, 300, 3)])
+    vectors = r.standard_normal((len(ids), 12))
+    one = {}
+    for i, v in zip(ids.tolist(), vectors.astype(np.float32)):
+        one[i] = min(one.get(i, tuple(v)), tuple(v))
+    got = by_query(ann.nearest(table(spark, vectors, ids), F.col("vec_id") % 20 == 7, cell=60))
+    want = brute(np.array([one[i] for i in range(300)]), np.arange(300), range(7, 300, 20))
+    assert set(got) == set(want) and all(len({i for i, _ in v}) == 5 for v in got.values())
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
