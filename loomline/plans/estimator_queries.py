@@ -470,9 +470,9 @@ ATT = f"""{UNITS}, cells AS (SELECT treat_time AS g, time AS t, avg(y) AS m, cou
 att AS (SELECT a.g, a.t, (a.m - b.m) - (c.m - e.m) AS att, a.n FROM cells a JOIN cells b ON b.g = a.g AND b.t = a.g - 1 JOIN cells c ON c.g IS NULL AND c.t = a.t JOIN cells e ON e.g IS NULL AND e.t = a.g - 1 WHERE a.t >= a.g - 1)"""
 
 
-@query(f"WITH {ATT} SELECT g, t, round(att, 2) AS att, n FROM att")
+@query(f"WITH {ATT} SELECT g, t, round(att, 6) AS att, n FROM att")
 def did_att_gt(spark, d):
-    return D.att_gt(units(spark, d)).withColumn("att", F.round("att", 2) + 0.0)
+    return D.att_gt(units(spark, d)).withColumn("att", F.round("att", 6) + 0.0)
 
 
 @query(f"WITH {ATT} SELECT t - g AS e, round(avg(att), 4) AS att, count(*) AS cells FROM att GROUP BY 1")
