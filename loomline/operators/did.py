@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from .regression import time_effects
+from .simplex_fit import cross, paths, simplex_weights, summed
 
 
 def att_gt(df: DataFrame) -> DataFrame:
@@ -50,27 +54,31 @@ def imputation(df: DataFrame) -> DataFrame:
     return treated.groupBy((F.col("time") - F.col("treat_time")).alias("e")).agg(F.avg(effect).alias("att"), F.count("*").alias("n"))
 
 
-def bootstrap_weights(units: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """unit, b, w: for each replicate how often a unit is drawn, a Poisson number of mean 1 from a hash of both.
+def drawn(unit: Column, b: Column, seed: int = 0) -> Column:
+    """How often a replicate draws a unit, a Poisson number of mean 1 from a hash of both.
 
-    As unit counts grow this is drawing as many units as there are with replacement; no unit's rows are copied.
+    As unit counts grow this is drawing as many units as there are with replacement.
     """
-    u = F.pmod(F.xxhash64(F.col("unit"), F.col("b"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    u = F.pmod(F.xxhash64(unit, b, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     steps, total, term = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 16):
         total += term
         steps = steps + F.when(u >= total, 1).otherwise(0)
         term /= k
-    return units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", steps).where("w > 0")
+    return steps
+
+
+def bootstrap_weights(units: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """units, b, w: the units that each replicate draws, and how often."""
+    return units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", drawn(F.col("unit"), F.col("b"), seed)).where("w > 0")
 
 
 def att_gt_inference(df: DataFrame, draws: int = 200, alpha: float = 0.10, seed: int = 0) -> DataFrame:
     """g, t, att, n, se, lo, hi: ``att_gt`` with the deviation and percentiles of replicates that draw units again.
 
-    A replicate is a weight per unit, so all of them are one aggregation of cells by replicate, cohort and date.
+    A replicate is a weight per unit, hashed row by row, so only cells by replicate, cohort and date are shuffled.
     """
-    w = bootstrap_weights(df.select("unit").distinct(), draws, seed)
-    cells = df.join(w, "unit").groupBy("b", F.col("treat_time").alias("g"), F.col("time").alias("t")).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
+    cells = bootstrap_weights(df, draws, seed).groupBy("b", F.col("treat_time").alias("g"), F.col("time").alias("t")).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
     treated, never = cells.where("g is not null"), cells.where("g is null").select("b", "t", F.col("m").alias("c"))
     base = treated.select("b", "g", F.col("t").alias("s"), F.col("m").alias("m0")).where("s = g - 1").join(never.select("b", F.col("t").alias("s"), F.col("c").alias("c0")), ["b", "s"]).drop("s")
     again = treated.where("t >= g - 1").join(never, ["b", "t"]).join(base, ["b", "g"]).select("g", "t", ((F.col("m") - F.col("m0")) - (F.col("c") - F.col("c0"))).alias("v"))
@@ -110,55 +118,94 @@ def simplex(gram: np.ndarray, cross: np.ndarray, ridge: float = 0.0, rounds: int
 def synthetic_control(df: DataFrame, treated: str, start: int) -> tuple[DataFrame, DataFrame]:
     """(unit, weight), and (time, y, synthetic, gap): the mix of never-treated units closest to one unit before ``start``.
 
-    The units' cross-products over earlier dates are one aggregation of pairs of donors; a donor pool's square of them
-    reaches the driver.
+    Donors without a value at every earlier date take no part. The driver gets sums over donors of the square of the
+    earlier dates' number (``simplex_fit``), whatever the number of donors.
     """
     d = df.where((F.col("unit") == treated) | F.col("treat_time").isNull()).select("unit", "time", "y")
-    early = d.where(F.col("time") < start)
-    pairs = early.alias("a").join(early.alias("b"), "time").groupBy(F.col("a.unit").alias("i"), F.col("b.unit").alias("j")).agg(F.sum(F.col("a.y") * F.col("b.y")).alias("s")).toPandas()
-    names = sorted(set(pairs.i) - {treated})
-    table = pairs.pivot(index="i", columns="j", values="s").fillna(0.0)
-    w = simplex(table.loc[names, names].to_numpy(), table.loc[names, treated].to_numpy())
-    weights = df.sparkSession.createDataFrame([(u, float(x)) for u, x in zip(names, w, strict=True)], f"unit {dict(df.dtypes)['unit']}, weight double")
-    mix = d.join(F.broadcast(weights), "unit").groupBy("time").agg(F.sum(F.col("weight") * F.col("y")).alias("synthetic"))
+    rows, _ = paths(d.where(F.col("time") < start), "unit", "time", "y")
+    own = rows.where(F.col("unit") == treated).first()
+    if own is None:
+        raise ValueError(f"{treated} lacks values before {start}")
+    weights = simplex_weights(rows.where(F.col("unit") != treated), np.array(own["a"])).select("unit", "weight")
+    mix = d.join(weights, "unit").groupBy("time").agg(F.sum(F.col("weight") * F.col("y")).alias("synthetic"))
     own = d.where(F.col("unit") == treated).select("time", "y")
     return weights, own.join(mix, "time").withColumn("gap", F.col("y") - F.col("synthetic"))
 
 
+def _synthetic(df: DataFrame, cohort: int) -> tuple[DataFrame, DataFrame, dict]:
+    """Treated and donor units with their weight and change, the dates' weights, and the cohort's figures."""
+    spark, post = df.sparkSession, F.col("time") >= cohort
+    mine = F.col("treat_time").eqNullSafe(F.lit(cohort)).alias("mine")
+    units = df.groupBy("unit", mine).agg(F.avg(F.when(post, F.col("y"))).alias("later"))
+    rows, dates = paths(df.where(~post), "unit", "time", "y")
+    rows = checkpointed(rows.join(units, "unit").where("later is not null"))
+    size = len(dates)
+    donors, own = rows.where(~F.col("mine")), rows.where("mine")
+    n_tr, n_co = own.count(), donors.count()
+    if not n_tr or n_co < 2 or size < 2:
+        raise ValueError(f"cohort {cohort} needs treated units, two donors and two earlier dates")
+    t_post = df.where(post).select("time").distinct().count()
+    # all that is fitted comes from moments of earlier paths and later means
+    m = cross(donors.select(F.concat("a", F.array("later")).alias("a")), size + 1) / n_co
+    level = summed(own, lambda a: a.sum(axis=0), size) / n_tr
+    c = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:])
+    diff = np.diff(np.eye(size), axis=0)
+    sums, square = diff @ m[0, 1:-1], diff @ m[1:-1, 1:-1] @ diff.T
+    k = n_co * (size - 1)
+    noise = float((np.trace(square) * n_co - (sums.sum() * n_co) ** 2 / k) / (k - 1)) if k > 1 else 0.0
+    lam = simplex(n_co * c[:size, :size], n_co * c[:size, size], 1e-12 * n_co * float(np.trace(c)))
+    ridge = max(noise, 0.0) * np.sqrt(n_tr * t_post) * size
+    centred = donors.withColumn("raw", F.col("a")).withColumn("a", F.transform("a", lambda x: x - F.aggregate("a", F.lit(0.0), lambda s, v: s + v) / size))
+    fitted = simplex_weights(centred, level - level.mean(), float(ridge)).select("unit", "mine", "later", F.col("raw").alias("a"), "weight")
+    every = fitted.unionByName(own.select("unit", "mine", "later", "a", F.lit(None).cast("double").alias("weight")))
+    mix = F.array(*[F.lit(float(x)) for x in lam])
+    change = F.col("later") - F.aggregate(F.zip_with("a", mix, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    times = spark.createDataFrame([(t, float(x)) for t, x in zip(dates, lam, strict=True)], f"time {dict(df.dtypes)['time']}, weight double")
+    return every.select("unit", "mine", "weight", change.alias("change")), times, {"cohort": cohort, "n": n_tr}
+
+
 def synthetic_did(df: DataFrame, cohort: int) -> tuple[float, DataFrame, DataFrame]:
-    """(effect, unit weights, time weights) of one cohort against never-treated units of a balanced panel.
+    """(effect, unit weights, time weights) of one cohort against never-treated units.
 
     Unit weights fit the cohort's mean path before treatment up to a level, with a ridge of the size of first
-    differences' noise; time weights fit later means of the controls. Both come from moments of demeaned data.
+    differences' noise; time weights fit later means of the controls. Both come from moments of at most the square of
+    the dates' number. Units that lack an earlier date, or all later ones, take no part.
+    """
+    every, times, _ = _synthetic(df.where((F.col("treat_time") == cohort) | F.col("treat_time").isNull()), cohort)
+    effect = every.agg(F.avg(F.when(F.col("mine"), F.col("change"))) - F.sum(F.col("weight") * F.col("change"))).first()[0]
+    return float(effect), every.where(~F.col("mine")).select(F.col("unit").cast("string").alias("u"), "weight"), times.select(F.col("time").cast("string").alias("k"), "weight")
+
+
+def synthetic_did_cohorts(df: DataFrame, later: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(cohort, att, n), and one row att, se, n, cohorts: each cohort's effect, and their mean by treated units.
+
+    Donors are never-treated units and, if ``later``, those treated after the cohort (over all dates, as they are).
+    A cohort without two donors or two earlier dates is left out. se is the jackknife over units at fixed weights: a
+    unit left out as a donor hands its weight to the others in proportion, and one that bears all of a cohort's weight
+    makes it null, as does a single treated unit. Cohorts run one after another, as many as there are dates at most.
     """
-    d = df.where((F.col("treat_time") == cohort) | F.col("treat_time").isNull())
-    post = F.col("time") >= cohort
-    sizes = d.agg(F.count_distinct(F.when(F.col("treat_time") == cohort, F.col("unit"))).alias("n_tr"), F.count_distinct(F.when(post, F.col("time"))).alias("t_post")).first()
-    own = d.where(F.col("treat_time") == cohort).groupBy("time").agg(F.avg("y").alias("y")).withColumn("unit", F.lit(None).cast(dict(df.dtypes)["unit"]))
-    rows = d.where("treat_time is null").select("unit", "time", "y").unionByName(own.select("unit", "time", "y"))
-    w = Window.partitionBy("unit").orderBy("time")
-    change = rows.where((F.col("time") < cohort) & F.col("unit").isNotNull()).select((F.col("y") - F.lag("y").over(w)).alias("c"))
-    noise = change.agg(F.var_samp("c")).first()[0] or 0.0
-    level = Window.partitionBy("unit")
-    pre = rows.where(F.col("time") < cohort).withColumn("v", F.col("y") - F.avg("y").over(level)).withColumn("u", F.coalesce(F.col("unit").cast("string"), F.lit("\0treated")))
-    g = pre.alias("a").join(pre.alias("b"), "time").groupBy(F.col("a.u").alias("i"), F.col("b.u").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("s")).toPandas().pivot(index="i", columns="j", values="s")
-    donors = [u for u in sorted(g.index) if u != "\0treated"]
-    zeta = np.sqrt(noise) * (sizes["n_tr"] * sizes["t_post"]) ** 0.25
-    n_pre = pre.select("time").distinct().count()
-    omega = simplex(g.loc[donors, donors].to_numpy(), g.loc[donors, "\0treated"].to_numpy(), zeta**2 * n_pre)
-    # the other way round: dates before treatment fit the controls' later mean, up to a level
-    later = rows.where((F.col("time") >= cohort) & F.col("unit").isNotNull()).groupBy("unit").agg(F.avg("y").alias("y")).withColumn("time", F.lit(None).cast(dict(df.dtypes)["time"]))
-    early = rows.where((F.col("time") < cohort) & F.col("unit").isNotNull()).select("unit", "time", "y").unionByName(later.select("unit", "time", "y"))
-    date = Window.partitionBy("time")
-    early = early.withColumn("v", F.col("y") - F.avg("y").over(date)).withColumn("k", F.coalesce(F.col("time").cast("string"), F.lit("\0post")))
-    h = early.alias("a").join(early.alias("b"), "unit").groupBy(F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("s")).toPandas().pivot(index="i", columns="j", values="s")
-    dates = [k for k in sorted(h.index) if k != "\0post"]
-    lam = simplex(h.loc[dates, dates].to_numpy(), h.loc[dates, "\0post"].to_numpy(), 1e-12 * float(np.trace(h.to_numpy())))
     spark = df.sparkSession
-    units = spark.createDataFrame([(u, float(x)) for u, x in zip(donors, omega, strict=True)], "u string, weight double")
-    times = spark.createDataFrame([(k, float(x)) for k, x in zip(dates, lam, strict=True)], "k string, weight double")
-    path = rows.withColumn("k", F.col("time").cast("string")).join(F.broadcast(times.withColumnRenamed("weight", "lam")), "k", "left")
-    per = path.groupBy("unit").agg((F.avg(F.when(F.col("time") >= cohort, F.col("y"))) - F.sum(F.col("lam") * F.col("y"))).alias("change"))
-    per = per.withColumn("u", F.col("unit").cast("string")).join(F.broadcast(units), "u", "left")
-    effect = per.agg(F.sum(F.when(F.col("unit").isNull(), F.col("change"))) - F.sum(F.col("weight") * F.col("change"))).first()[0]
-    return float(effect), units, times
+    found = [r[0] for r in df.where("treat_time is not null").select("treat_time").distinct().orderBy("treat_time").collect()]
+    parts = []
+    for g in found:
+        pool = F.col("treat_time").isNull() | (F.col("treat_time") == g) | ((F.col("treat_time") > g) if later else F.lit(False))
+        try:
+            parts.append(_synthetic(df.where(pool), g)[0].withColumn("cohort", F.lit(g)))
+        except ValueError:
+            continue
+    if not parts:
+        raise ValueError("no cohort has two donors and two earlier dates")
+    rows = checkpointed(reduce(DataFrame.unionByName, parts))
+    own, mix = F.when(F.col("mine"), F.col("change")), F.col("weight") * F.col("change")
+    sums = rows.groupBy("cohort").agg(F.count(own).alias("n"), F.sum(own).alias("s"), F.sum(mix).alias("m"))  # a row a cohort
+    cohorts = sums.select("cohort", (F.col("s") / F.col("n") - F.col("m")).alias("att"), "n")
+    total = cohorts.agg((F.sum(F.col("att") * F.col("n")) / F.sum("n")).alias("att"), F.sum("n").alias("n"), F.count("*").alias("cohorts"))
+    full = F.col("s") - F.col("n") * F.col("m")  # the cohort's effect times its size
+    less_own = (F.col("s") - F.col("change")) - (F.col("n") - 1) * F.col("m")
+    less_donor = F.col("s") - F.col("n") * (F.col("m") - mix) / F.when(F.col("weight") < 1 - 1e-9, 1 - F.col("weight"))
+    without = rows.join(F.broadcast(sums), "cohort").groupBy("unit").agg(
+        F.sum(F.when(F.col("mine"), less_own).otherwise(less_donor) - full).alias("moved"), F.count(F.when(F.col("mine") | (F.col("weight") < 1 - 1e-9), 1)).alias("fine"), F.count("*").alias("all"), F.max(F.col("mine").cast("int")).alias("own")
+    )
+    left = without.join(F.broadcast(total)).select((F.when(F.col("fine") == F.col("all"), (F.col("att") * F.col("n") + F.col("moved")) / F.nullif(F.col("n") - F.col("own"), F.lit(0))) - F.col("att")).alias("gap"))
+    spread = left.agg(F.when(F.count("gap") == F.count("*"), F.sqrt((F.count("*") - 1) / F.count("*") * F.sum(F.col("gap") * F.col("gap")))).alias("se"))
+    return cohorts, total.join(spread).select("att", "se", "n", "cohorts")
