@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_cdf
-from .regression import estimate, moments, scores, solver
+from .regression import estimate, moments, scores, square
 from .windows import lags, over
 
 #: 5 per cent points of the trace statistic by the number of stochastic trends.
@@ -38,14 +38,37 @@ def phillips_perron(df: DataFrame, by: list[str], order: str, y: str, bandwidth:
 def zivot_andrews(df: DataFrame, by: list[str], order: str, y: str, n_lags: int = 4, trim: float = 0.15) -> DataFrame:
     """by, za_t, break_at, n: the least t statistic of y_{t-1} over dates of a break in the mean, next to n_lags differences.
 
-    Each candidate break is a group of rows of its own, so all are aggregated together; of equal ones the first counts.
+    What a break's regressor adds to a series' cross-moments are sums over the rows after it, so all breaks are one
+    running sum and no row is copied. Of equal ones the first counts; breaks before the first complete row are none.
     """
     w, every = over(by, order), Window.partitionBy(*by)
     d = df.where(F.col(y).isNotNull()).select(*by, order, (F.row_number().over(w) - 1).alias("__i"), F.count("*").over(every).alias("__n"), F.lag(y, 1).over(w).alias("level"), (F.col(y) - F.lag(y, 1).over(w)).alias("dy"))
     d = d.select("*", *lags(["dy"], n_lags, by, order)).dropna()
-    breaks = F.explode(F.sequence(F.floor(trim * F.col("__n")).cast("int"), F.floor((1 - trim) * F.col("__n")).cast("int"))).alias("break_at")
-    d = d.select("*", breaks).withColumn("after", F.when(F.col("__i") > F.col("break_at"), 1.0).otherwise(0.0))
-    one = estimate(scores(d, [*by, "break_at"], "dy", ["level", "after", *[f"dy_L{k}" for k in range(1, n_lags + 1)]], "level"), [*by, "break_at"], "classical")
+    names = ["level", *[f"dy_L{k}" for k in range(1, n_lags + 1)], "dy"]
+    fixed = moments(d, by, [F.lit(1.0), *[F.col(c).cast("double") for c in names]])
+    after = over(by, order, 1, Window.unboundedFollowing)
+    sums = F.array(*[F.coalesce(F.sum(c).over(after), F.lit(0.0)) for c in (F.lit(1.0), *map(F.col, names))])
+    each = d.select(*by, F.col("__i").alias("break_at"), "__n", sums.alias("a")).where((F.col("break_at") >= F.floor(trim * F.col("__n"))) & (F.col("break_at") <= F.floor((1 - trim) * F.col("__n"))))
+    k = len(names) + 1  # constant, level, differences, break
+
+    @F.pandas_udf("double")
+    def statistic(m: pd.Series, a: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for x, s, t in zip(m, a, n, strict=True):
+            full = np.zeros((k + 1, k + 1))
+            full[np.ix_([*range(k - 1), k], [*range(k - 1), k])] = square(x, k)
+            # a row's break regressor is its own square
+            full[k - 1, [*range(k - 1), k]] = full[[*range(k - 1), k], k - 1] = s
+            full[k - 1, k - 1] = s[0]
+            scale = np.sqrt(np.maximum(np.diag(full)[:k], 1e-300))
+            inv = np.linalg.pinv(full[:k, :k] / np.outer(scale, scale), rcond=1e-13) / np.outer(scale, scale)
+            beta = inv @ full[:k, k]
+            v = (full[k, k] - beta @ full[:k, k]) / (t - k) * inv[1, 1] if t > k else 0.0
+            out.append(float(beta[1] / np.sqrt(v)) if v > 0 else None)
+        return pd.Series(out, dtype=float)
+
+    one = each.join(fixed, by) if by else each.join(F.broadcast(fixed))  # without groups, one row
+    one = one.withColumn("t", F.nanvl(statistic("m", "a", "n"), F.lit(None).cast("double"))).where("t is not null")
     return one.groupBy(*by).agg(F.min(F.struct("t", "break_at", "n")).alias("b")).select(*by, F.col("b.t").alias("za_t"), F.col("b.break_at").alias("break_at"), F.col("b.n").alias("n"))
 
 
@@ -75,7 +98,7 @@ def engle_granger(df: DataFrame, by: list[str], order: str, y: str, x: str, n_la
     d = r.select(*by, order, F.lag("u", 1).over(w).alias("level"), (F.col("u") - F.lag("u", 1).over(w)).alias("dy"))
     d = d.select("*", *lags(["dy"], n_lags, by, order))
     t = estimate(scores(d, by, "dy", ["level", *[f"dy_L{k}" for k in range(1, n_lags + 1)]], "level"), by, "classical").select(*by, F.col("t").alias("adf_t"), "n")
-    p = F.udf(lambda v: None if v is None else float(norm_cdf((v + 1.61) / 0.94)), "double")  # one number a series
+    p = F.pandas_udf(lambda v: ((v + 1.61) / 0.94).map(norm_cdf), "double")
     return r.groupBy(*by).agg(F.first("beta").alias("beta")).join(t, by).select(*by, "beta", "adf_t", p("adf_t").alias("p_value"), "n")
 
 
@@ -97,8 +120,6 @@ def johansen(df: DataFrame, order: str, cols: list[str], p: int = 2) -> pd.DataF
     d = df.select(order, *[F.lag(c, 1).over(w).alias(f"__l{i}") for i, c in enumerate(cols)], *[(F.col(c) - F.lag(c, 1).over(w)).alias(f"__d{i}") for i, c in enumerate(cols)])
     d = d.select("*", *[F.lag(x, k).over(w).alias(f"{x}_{k}") for k in range(1, p) for x in diffs]).dropna()
     short = [f"{x}_{k}" for k in range(1, p) for x in diffs]
-    from .regression import square
-
     row = moments(d, [], [F.lit(1.0), *map(F.col, short), *map(F.col, diffs), *[F.col(f"__l{i}") for i in range(n)]]).first()
     k, t = 1 + len(short), row["n"]
     a = square(row["m"], k + 2 * n)

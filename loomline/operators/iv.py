@@ -189,7 +189,7 @@ def regime_interaction(df: DataFrame, entity: str, time: str, y: str, x: str, re
     parts = one("x1", cols).withColumn("regime", F.lit(1)).unionByName(one("x0", cols).withColumn("regime", F.lit(0)))
     # x itself next to x1: the coefficient of x1 is then the difference of the two
     gap = one("x1", ["x1", x, "__state", *xs[1:]]).select("h", F.col("t").alias("__t"))
-    p = F.udf(lambda t: None if t is None else float(chi2_sf(t * t, 1)), "double")  # two numbers a horizon
+    p = F.pandas_udf(lambda t: t.map(lambda v: float(chi2_sf(v * v, 1)), na_action="ignore"), "double")
     return parts.join(gap, "h").withColumn("wald_p", p("__t")).drop("__t", "t")
 
 
@@ -204,7 +204,7 @@ def cross_dependence(df: DataFrame, entity: str, time: str, u: str) -> DataFrame
     t = d.groupBy(time).agg(F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("ss"), F.count("*").alias("k"))
     g = t.agg(F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2).alias("pairs"), F.count("*").alias("t"), F.max("k").alias("k"))
     stat = F.sqrt(2 * F.col("t") / (F.col("k") * (F.col("k") - 1))) * F.col("pairs") / F.col("t")
-    p = F.udf(lambda s: None if s is None else float(2 * (1 - norm_cdf(abs(s)))), "double")  # one row
+    p = F.pandas_udf(lambda s: 2 * (1 - s.abs().map(norm_cdf)), "double")
     return g.select(stat.alias("cd_stat")).withColumn("p_value", p("cd_stat"))
 
 
@@ -213,5 +213,5 @@ def slope_homogeneity(df: DataFrame, entity: str, y: str, xs: list[str], target:
     d = estimate(scores(df, [entity], y, xs, target), [entity], "classical")
     mean = d.agg(F.avg("beta").alias("__m"))  # one row
     g = d.join(F.broadcast(mean)).agg(F.sum(F.pow((F.col("beta") - F.col("__m")) / F.col("se"), 2)).alias("stat"), (F.count("*") - 1).alias("df"))
-    p = F.udf(lambda s, k: None if s is None else float(chi2_sf(s, k)), "double")  # one row
+    p = F.pandas_udf(lambda s, k: pd.Series([None if v != v else float(chi2_sf(v, n)) for v, n in zip(s, k, strict=True)], dtype=float), "double")
     return g.withColumn("p_value", p("stat", "df"))

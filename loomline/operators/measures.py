@@ -193,11 +193,19 @@ def json_value(json: Column, key: str, kind: str = "string") -> Column:
 
 def harmonised(events: DataFrame, deflators: DataFrame, stub: float = 0.05) -> DataFrame:
     """Magnitudes in per cent of GDP over the deflator of the nearest date (the earlier of two equally near); 0 becomes a
-    stub; z-scores, stubs and units that aren't known stay. Events without a deflator of their country stay too."""
-    near = F.min_by(F.struct("deflator"), F.struct(F.abs(F.datediff(F.col("date"), F.col("d_date"))), F.col("d_date")))
-    keyed = events.select("event_id", "code", "date").where((F.col("unit") == "pct_gdp") & (F.col("magnitude") != 0))
-    found = keyed.join(deflators.select(F.col("code"), F.col("date").alias("d_date"), "deflator"), "code").groupBy("event_id").agg(near["deflator"].alias("deflator"))
-    d = events.join(found, "event_id", "left")
+    stub; z-scores, stubs and units that aren't known stay. Events without a deflator of their country stay too.
+
+    Each date looks at the last deflator up to it and the next one after it, on windows of a country's dates; of
+    deflators of one date the least counts, a null one before numbers.
+    """
+    known = deflators.where("date is not null").groupBy("code", "date").agg(F.min(F.struct("deflator")).alias("found")).withColumn("wanted", F.lit(0))
+    dates = events.where((F.col("unit") == "pct_gdp") & (F.col("magnitude") != 0)).select("code", "date").distinct().withColumn("found", F.lit(None).cast(known.schema["found"].dataType)).withColumn("wanted", F.lit(1))
+    w = Window.partitionBy("code").orderBy("date")
+    held = F.when(F.col("found").isNotNull(), F.struct("date", "found"))
+    ends = known.unionByName(dates).select("code", "date", "wanted", F.last(held, True).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("b"), F.first(held, True).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("a"))
+    earlier = F.col("b").isNotNull() & (F.col("a").isNull() | (F.datediff("date", F.col("b.date")) <= F.datediff(F.col("a.date"), F.col("date"))))
+    near = ends.where("wanted = 1").select("code", "date", F.when(earlier, F.col("b.found.deflator")).otherwise(F.col("a.found.deflator")).alias("deflator"))
+    d = events.join(near, ["code", "date"], "left").select(*events.columns, "deflator")
     zero = (F.col("unit") != "z") & (F.col("magnitude") == 0)
     size = F.when(zero, stub).when((F.col("unit") == "pct_gdp") & (F.col("deflator") > 0), F.col("magnitude") / F.col("deflator")).otherwise(F.col("magnitude"))
     return d.withColumns({"magnitude": size, "unit": F.when(zero, "stub_pct_gdp").otherwise(F.col("unit"))}).drop("deflator")

@@ -127,3 +127,24 @@ def test_switchers_by_horizon(frame):
         assert np.isclose(r.did, effect(h, one)[0]) and r.n_switchers == effect(h, one)[1] and np.isclose(r.se, np.sqrt(np.sum(np.square(slope))), rtol=1e-5)
     assert np.isclose(got[0].did, did.switchers(frame).first().did) and np.isclose(got[3].did, did.switchers(frame, 3).first().did)
     assert np.isclose(got[-1].did, did.placebo_switchers(frame).first().did)
+
+
+def test_nearest_deflator(spark):
+    from datetime import date, timedelta
+
+    from loomline.operators.measures import harmonised
+
+    r = np.random.default_rng(3)
+    day = lambda n: date(2000, 1, 1) + timedelta(days=int(n))
+    deflators = [(c, day(n), float(v)) for c in "ab" for n, v in zip(r.integers(0, 60, 12), r.uniform(0.5, 2, 12), strict=True)] + [("a", day(7), None)]
+    events = [(i, "abc"[i % 3], day(r.integers(-5, 70)), [0.0, 1.5, -2.0][i % 7 % 3], ["pct_gdp", "z", "usd"][i // 3 % 5 % 3]) for i in range(90)]
+    got = {x.event_id: (x.magnitude, x.unit) for x in harmonised(spark.createDataFrame(events, "event_id int, code string, date date, magnitude double, unit string"), spark.createDataFrame(deflators, "code string, date date, deflator double")).collect()}
+    assert len(got) == 90
+    for i, c, when, size, unit in events:
+        own = sorted((abs((k - when).days), k, -1 if v is None else v) for d, k, v in deflators if d == c)
+        if unit != "z" and size == 0:
+            assert got[i] == (0.05, "stub_pct_gdp")
+        elif unit == "pct_gdp" and own and own[0][2] > 0:
+            assert np.isclose(got[i][0], size / own[0][2]) and got[i][1] == unit
+        else:
+            assert got[i] == (size, unit)
