@@ -123,14 +123,43 @@ def lp_asymmetric(df: DataFrame, by: list[str], order: str, y: str, x: str, hs:
     return parts[0].unionByName(parts[1])
 
 
-def lp_state(df: DataFrame, by: list[str], order: str, y: str, x: str, state: str, hs: list[int], n_lags: int = 2, gamma: float = 3.0, alpha: float = 0.10) -> DataFrame:
-    """Responses in the high and the low state, F(z) a logistic of the state standardised on each horizon's rows."""
-    d, xs = lp_design(df.select(*by, order, *dict.fromkeys([y, x])), by, order, y, x, hs, n_lags)
-    d = d.join(df.select(*by, order, F.col(state).alias("__z")), [*by, order]).dropna()
+def _state_rows(df: DataFrame, by: list[str], order: str, y: str, x: str, state: str, hs: list[int], n_lags: int, weight, controls: list[str], difference: bool) -> tuple[DataFrame, list[str]]:
+    """Complete rows by horizon with x split by ``weight`` of the state standardised on the horizon's rows; a state that
+    never moves is 0 there."""
+    d, xs = lp_design(df.select(*by, order, *dict.fromkeys([y, x, *controls])), by, order, y, x, hs, n_lags, controls, difference)
+    d = d.join(df.select(*by, order, F.col(state).cast("double").alias("__z")), [*by, order]).dropna()
     w = Window.partitionBy(*by, "h")
-    weight = 1 / (1 + F.exp(-gamma * (F.col("__z") - F.avg("__z").over(w)) / F.stddev_pop("__z").over(w)))
-    d = d.withColumn("__f", weight).withColumn("high", F.col("__f") * F.col(x)).withColumn("low", (1 - F.col("__f")) * F.col(x))
-    parts = [estimate(scores(d, [*by, "h"], "dy", ["high", "low", *xs[1:]], s), [*by, "h"], "hac", order, most=max(hs) + 1, bandwidth=F.col("h") + 1, alpha=alpha).withColumn("state", F.lit(s)) for s in ("high", "low")]
+    z = (F.col("__z") - F.avg("__z").over(w)) / F.coalesce(F.nullif(F.stddev_pop("__z").over(w), F.lit(0.0)), F.lit(1.0))
+    return d.withColumn("__f", weight(z)).withColumn("high", F.col("__f") * F.col(x)).withColumn("low", (1 - F.col("__f")) * F.col(x)), xs[1:]
+
+
+def lp_state(df: DataFrame, by: list[str], order: str, y: str, x: str, state: str, hs: list[int], n_lags: int = 2, gamma: float = 3.0, alpha: float = 0.10, transition: str = "logistic", threshold: float = 0.0, controls: list[str] = ()) -> DataFrame:
+    """Responses of y_{t+h} - y_{t-1} in the high and the low state: F(z) a logistic of the standardised state, or whether
+    it is over ``threshold`` deviations (transition "threshold")."""
+    if transition not in ("logistic", "threshold"):
+        raise ValueError(f"unknown transition {transition!r}")
+    weight = (lambda z: 1 / (1 + F.exp(-gamma * z))) if transition == "logistic" else lambda z: F.when(z > threshold, 1.0).otherwise(0.0)
+    d, rest = _state_rows(df, by, order, y, x, state, hs, n_lags, weight, list(controls), True)
+    parts = [estimate(scores(d, [*by, "h"], "dy", ["high", "low", *rest], s), [*by, "h"], "hac", order, most=max(hs) + 1, bandwidth=F.col("h") + 1, alpha=alpha).withColumn("state", F.lit(s)) for s in ("high", "low")]
+    return parts[0].unionByName(parts[1])
+
+
+def lp_smooth_transition(df: DataFrame, by: list[str], order: str, y: str, x: str, state: str, hs: list[int], n_lags: int = 2, gamma: float = 5.0, threshold: float = 0.0, alpha: float = 0.10, controls: list[str] = ()) -> DataFrame:
+    """Responses of y_{t+h} itself, by a logistic of the standardised state around ``threshold``.
+
+    Bandwidth ceil(((h + 1) n)^(2/9)), variances times n / (n - k).
+    """
+    keys = [*by, "h"]
+    d, rest = _state_rows(df, by, order, y, x, state, hs, n_lags, lambda z: 1 / (1 + F.exp(-gamma * (z - threshold))), list(controls), False)
+    width = lambda n: F.greatest(F.lit(1), F.ceil(F.pow((F.col("h") + 1) * n, F.lit(2 / 9))))
+    # the widest of all horizons, from one count of the rows
+    most = int(d.groupBy(*keys).count().agg(F.max(width(F.col("count")))).first()[0] or 1)
+    z, k = norm_ppf(1 - alpha / 2), 3 + len(rest)
+    parts = []
+    for s in ("high", "low"):
+        one = estimate(scores(d, keys, "dy", ["high", "low", *rest], s), keys, "hac", order, most=most, bandwidth=width(F.col("n")), alpha=alpha)
+        one = one.withColumn("se", F.col("se") * F.sqrt(F.try_divide(F.col("n").cast("double"), F.greatest(F.col("n") - k, F.lit(0)))))
+        parts.append(one.select(*keys, "beta", "se", F.try_divide("beta", "se").alias("t"), (F.col("beta") - z * F.col("se")).alias("lo"), (F.col("beta") + z * F.col("se")).alias("hi"), "n", F.lit(s).alias("state")))
     return parts[0].unionByName(parts[1])
 
 

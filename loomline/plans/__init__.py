@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("panel_queries", "measure_queries", "estimator_queries", "inference_queries", "text_index_queries", "system_queries", "dynamic_queries", "rolling_queries", "source_queries")
+MODULES = ("panel_queries", "measure_queries", "estimator_queries", "inference_queries", "text_index_queries", "system_queries", "dynamic_queries", "rolling_queries", "source_queries", "staggered_queries")
 
 
 def _gather(what: str) -> dict:
