@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from .regression import _lagged, estimate, moments, scores, solver, square
 from .windows import lags, over
 
@@ -124,6 +125,23 @@ def factor(cols: list[str], loadings: np.ndarray, means: list[float], sds: list[
     return sum((float(w) * (F.col(c) - m) / s for c, w, m, s in zip(cols, loadings, means, sds, strict=True)), F.lit(0.0))
 
 
+def factor_criteria(df: DataFrame, cols: list[str], most: int = 10) -> pd.DataFrame:
+    """k, unexplained, ic1, ic2, ic3 for 0 to ``most`` factors of standardised columns: log of the unexplained share, and
+    three penalties of k by rows T and columns n. The best k is where a criterion is least.
+
+    What k components leave is the sum of the later eigenvalues, so one aggregation of moments serves all k. Rows with
+    a missing column and columns that don't move must be left out by the caller.
+    """
+    n, t = len(cols), df.dropna(subset=cols).count()
+    _, values, _, _ = principal_component(df, cols)
+    k = np.arange(min(most, n) + 1)
+    left = np.array([max(float(values[i:].sum()) / n, 0.0) for i in k])
+    with np.errstate(divide="ignore"):
+        log = np.log(left)
+    rate, small = (n + t) / (n * t), min(n, t)
+    return pd.DataFrame({"k": k, "unexplained": left, "ic1": log + k * rate * np.log(1 / rate), "ic2": log + k * rate * np.log(small), "ic3": log + k * np.log(small) / small})
+
+
 def hp_trend(v: np.ndarray, lam: float) -> np.ndarray:
     """(I + lam D'D) x = v by elimination in the five bands, in time and space of the series' length."""
     n = len(v)
@@ -232,3 +250,48 @@ def garch_fit(df: DataFrame, by: list[str], order: str, r: str, least: int = 50)
 
     types = dict(df.dtypes)
     return df.select(*by, order, r).dropna().groupBy(*by).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in by) + ", omega double, alpha double, beta double, loglik double, n long")
+
+
+def ccc_garch(df: DataFrame, code: str, order: str, r: str, least: int = 50) -> tuple[DataFrame, DataFrame, float]:
+    """(code, order, r, sigma2, z), (i, j, rho) and the log likelihood of GARCH(1,1) series with constant correlations.
+
+    Every series is fitted alone and read once more with its own parameters; correlations and the likelihood are then
+    moments of standardised residuals over the dates that all fitted series have, so only a square of the series'
+    number reaches the driver. Series of fewer than ``least`` values or without variance take no part.
+    """
+    rows = df.select(code, order, r).dropna()
+    fits = garch_fit(rows, [code], order, r, least).select(F.col(code).alias("__c"), "omega", "alpha", "beta")
+
+    def path(pdf: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(fit):
+            return pd.DataFrame(columns=[code, order, r, "sigma2", "z"])
+        pdf, f = pdf.sort_values(order), fit.iloc[0]
+        v = pdf[r].to_numpy(float)
+        s = garch_variance(v, f["omega"], f["alpha"], f["beta"])
+        return pd.DataFrame({code: pdf[code], order: pdf[order], r: v, "sigma2": s, "z": v / np.sqrt(s)})
+
+    types = dict(df.dtypes)
+    out = checkpointed(rows.groupBy(code).cogroup(fits.groupBy("__c")).applyInPandas(path, f"{code} {types[code]}, {order} {types[order]}, {r} double, sigma2 double, z double"))
+    names = [x[0] for x in out.select(code).distinct().orderBy(code).collect()]
+    n = len(names)
+    wide = out.groupBy(order).agg(*[F.max(F.when(F.col(code) == name, F.col("z"))).alias(f"z{i}") for i, name in enumerate(names)], F.sum(F.log("sigma2")).alias("logs"))
+    cols = [f"z{i}" for i in range(n)]
+    m = moments(wide.dropna(subset=cols), [], [F.lit(1.0), *map(F.col, cols), F.col("logs")]).first() if n else None
+    if m is None or m["n"] < 2:
+        raise ValueError("no two dates that all fitted series have")
+    a, t = square(m["m"], n + 2), m["n"]
+    cov = a[1:-1, 1:-1] - np.outer(a[0, 1:-1], a[0, 1:-1]) / t
+    sd = np.sqrt(np.diag(cov))
+    rho = cov / np.outer(sd, sd)
+    sign, det = np.linalg.slogdet(rho)
+    loglik = float(-0.5 * (t * (n * np.log(2 * np.pi) + det) + a[0, -1] + np.trace(np.linalg.solve(rho, a[1:-1, 1:-1])))) if sign > 0 else float("nan")
+    pairs = df.sparkSession.createDataFrame([(names[i], names[j], float(rho[i, j])) for i in range(n) for j in range(n)], f"i {types[code]}, j {types[code]}, rho double")
+    return out, pairs, loglik
+
+
+def ccc_covariance(paths: DataFrame, pairs: DataFrame, code: str, order: str) -> DataFrame:
+    """order, i, j, cov: the conditional covariance of each pair of series at dates that both have, i not after j."""
+    one = paths.select(F.col(order), F.col(code).alias("i"), F.col("sigma2").alias("a"))
+    two = paths.select(F.col(order), F.col(code).alias("j"), F.col("sigma2").alias("b"))
+    wanted = F.broadcast(pairs.where("i <= j"))  # made from the driver's square of series
+    return one.join(wanted, "i").join(two, [order, "j"]).select(order, "i", "j", (F.col("rho") * F.sqrt(F.col("a") * F.col("b"))).alias("cov"))

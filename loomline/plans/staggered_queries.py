@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import did as D
 from ..operators import regression as G
+from ..operators import series as T
 from ..operators import staggered as S
 from ..sources import panel as src
-from .estimator_queries import ATT, REGION, UNITS, logs, units
+from .estimator_queries import ATT, REGION, REGIONS, UNITS, logs, system, units
 from .partial_sql import Z, partialled, projections, result
 
 QUERIES: dict = {}
@@ -58,13 +59,14 @@ def switchers_by_horizon(spark, d):
 
 
 def nations(spark, d):
-    """Nations' log revenue by half-year, zero-filled by one; three groups of them are treated from different dates on."""
-    t = src.trade_wide(spark, d, "quarter").select(F.col("code").alias("unit"), ((F.year("date") - 1992) * 2 + F.floor((F.quarter("date") - 1) / 2)).cast("int").alias("time"), "revenue")
+    """Nations' log revenue by half-year, zero-filled; two groups of them are treated, from different dates on."""
+    t = src.trade_wide(spark, d, "quarter").select(F.col("code").alias("unit"), ((F.year("date") - 1995) * 2 + F.floor((F.quarter("date") - 1) / 2)).cast("int").alias("time"), "revenue")
     t = t.groupBy("unit", "time").agg(F.sum("revenue").alias("revenue"))
-    grid = t.select("unit").distinct().join(F.broadcast(t.select("time").distinct()))  # a row a half-year
-    key = F.crc32(F.col("unit").cast("binary")) % 8
-    treat = F.when(key == 0, 7).when(key == 1, 9)
-    return grid.join(t, ["unit", "time"], "left").select("unit", "time", F.log1p(F.coalesce("revenue", F.lit(0.0))).alias("y"), treat.cast("int").alias("treat_time"))
+    span = t.agg(F.min("time").alias("lo"), F.max("time").alias("hi"))  # one row
+    grid = t.select("unit").distinct().join(F.broadcast(span)).select("unit", F.explode(F.sequence("lo", "hi")).alias("time"))
+    key = F.regexp_extract("unit", "([0-9]+)$", 1).try_cast("int") % 8
+    treat = F.when(key == 1, F.lit(5)).when(key == 2, F.lit(8))
+    return grid.join(t, ["unit", "time"], "left").select("unit", "time", F.log1p(F.coalesce("revenue", F.lit(0.0))).alias("y"), treat.alias("treat_time"))
 
 
 @query()
@@ -72,6 +74,19 @@ def synthetic_cohorts(spark, d):
     return D.synthetic_did_cohorts(nations(spark, d))[1]
 
 
+@query()
+def factor_number(spark, d):
+    return spark.createDataFrame(T.factor_criteria(system(spark, d), REGIONS, 4))
+
+
+@query()
+def constant_correlations(spark, d):
+    w = Window.partitionBy("code").orderBy("date")
+    g = logs(src.region_wide(spark, d)).select("code", "date", (F.col("y") - F.lag("y", 1).over(w)).alias("r"))
+    paths, pairs, _ = T.ccc_garch(g.withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("code"))), "code", "date", "r")
+    return T.ccc_covariance(paths, pairs, "code", "date")
+
+
 def _by_state(transition: str) -> str:
     level = transition == "smooth"
     design, xs = projections("c", [0, 1, 2, 4], 1, ("z",))
