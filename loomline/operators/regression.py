@@ -52,15 +52,24 @@ def dot(values: list[Column], weights: Column) -> Column:
 
 
 def scores(df: DataFrame, by: list[str], y: str, xs: list[str], target: str, constant: bool = True) -> DataFrame:
-    """Complete rows with beta (the target's), u, q and n."""
+    """Complete rows with beta (the target's), u, q and n.
+
+    With a constant, moments are of deviations from the group's means: those of levels lose twice the digits by which a
+    column's level exceeds its spread.
+    """
     d = df.dropna(subset=[y, *xs])
-    regressors = [*([F.lit(1.0)] if constant else []), *[F.col(x).cast("double") for x in xs]]
-    at = xs.index(target) + int(constant)
-    solved = moments(d, by, [*regressors, F.col(y).cast("double")]).withColumn("s", solver(len(regressors), at)("m"))
-    classical = F.try_divide(F.col("s.ssr"), F.col("n") - len(regressors)) * F.col("s.row")[at]
+    regressors, outcome = [F.col(x).cast("double") for x in xs], F.col(y).cast("double")
+    joined = lambda a, b: a.join(b, by) if by else a.join(F.broadcast(b))  # noqa: E731  without groups, one row
+    if constant:
+        centre = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c))  # noqa: E731  one value: nothing but 0 is left
+        d = joined(d, d.groupBy(*by).agg(F.array(*map(centre, [*regressors, outcome])).alias("__m")))
+        *regressors, outcome = [c - F.col("__m")[i] for i, c in enumerate([*regressors, outcome])]
+    at, k = xs.index(target), len(xs) + int(constant)
+    solved = moments(d, by, [*regressors, outcome]).withColumn("s", solver(len(xs), at)("m"))
+    classical = F.try_divide(F.col("s.ssr"), F.col("n") - k) * F.col("s.row")[at]
     solved = solved.select(*by, "n", F.col("s.beta").alias("__b"), F.col("s.row").alias("__r"), F.col("s.ssr").alias("ssr"), classical.alias("classical"))
-    d = d.join(solved, by) if by else d.join(F.broadcast(solved))  # without groups, one row
-    return d.withColumn("u", F.col(y) - dot(regressors, F.col("__b"))).withColumn("q", dot(regressors, F.col("__r")) * F.col("u")).withColumn("beta", F.col("__b")[at])
+    d = joined(d, solved)
+    return d.withColumn("u", outcome - dot(regressors, F.col("__b"))).withColumn("q", dot(regressors, F.col("__r")) * F.col("u")).withColumn("beta", F.col("__b")[at]).drop("__m")
 
 
 def _lagged(d: DataFrame, by: list[str], order: str, most: int, bandwidth: Column) -> DataFrame:

@@ -86,6 +86,24 @@ def test_iv_with_the_regressor_itself_is_ols(frame):
     assert all(np.isclose(iv[k], own[k]) for k in own)
 
 
+def test_iv_keeps_its_digits_where_levels_exceed_spreads(spark):
+    """Series around 23 and 10 that move by hundredths, and an instrument close to the regressor."""
+    r, n = np.random.default_rng(5), 80
+    x = 10 + 0.05 * r.standard_normal(n)
+    g = pd.DataFrame({"t": range(n), "y": 13 + x + 0.02 * r.standard_normal(n), "x": x, "z": x + 3e-4 * (np.arange(n) % 3) + 1e-5 * r.standard_normal(n), "flat": 0.1})
+    df = spark.createDataFrame(g.assign(code="a"))
+    (got,) = regression.lp_iv(df, ["code"], "t", "y", "x", "z", [0], 1).collect()
+    d = design(g, 0, 1).assign(z=g.z)
+    Q, _ = np.linalg.qr((d[["xl1", "yl1"]] - d[["xl1", "yl1"]].mean()).to_numpy())
+    out = lambda v: (lambda c: c - Q @ (Q.T @ c))((v - v.mean()).to_numpy())
+    z, w = out(d.z), out(d.x)
+    pi = z @ w / (z @ z)
+    assert np.isclose(got.first_stage_f, pi**2 / hac((z * (w - pi * z) / (z @ z))[:, None], 1)[0, 0], rtol=1e-9, atol=0)
+    # a regressor of one value is the constant again, and takes no part
+    a, b = (regression.ols(df, ["code"], "y", xs, "x").first() for xs in (["x"], ["x", "flat"]))
+    assert np.isclose(a.beta, b.beta) and np.isclose(a.se, b.se)
+
+
 def test_mean_group_recovers_the_effect(frame):
     (r,) = regression.mean_group(frame, "code", "t", "y", "x", [0], 1).collect()
     assert abs(r.beta - 0.6) < 0.1 and r.n == 6 and r.lo < r.beta < r.hi
