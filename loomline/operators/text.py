@@ -18,10 +18,25 @@ def term_pattern(term: str, language: str = "en") -> str:
     return quoted if language in UNSPACED else rf"(?U)\b{quoted}\b"
 
 
+def term_patterns(terms: list[str], language: str = "en") -> list[str]:
+    """Expressions whose matches add up to those of each term: two whole words never overlap, so all words are one."""
+    rest = sorted(t.lower() for t in terms)
+    words = [] if language in UNSPACED else sorted({t for t in rest if t and all(c == "_" or c.isalpha() or c.isdecimal() for c in t)})
+    for w in words:
+        rest.remove(w)  # a term given twice counts twice
+    return [*([rf"(?U)\b(?:{'|'.join(words)})\b"] if words else []), *(term_pattern(t, language) for t in rest)]
+
+
 def count_terms(text: Column, terms: list[str], language: str = "en") -> Column:
     """Matches of each term summed: a term inside another counts for both."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((F.regexp_count(low, F.lit(term_pattern(t, language))) for t in sorted(terms)), F.lit(0))
+    return sum((F.regexp_count(low, F.lit(p)) for p in term_patterns(terms, language)), F.lit(0))
+
+
+def balance(up: Column, down: Column) -> Column:
+    """(up - down) / (up + down), 0 without either; each is computed once."""
+    pair = F.array(F.struct(up.alias("up"), down.alias("down")))
+    return F.get(F.transform(pair, lambda c: F.when(c["up"] + c["down"] > 0, (c["up"] - c["down"]) / (c["up"] + c["down"])).otherwise(0.0)), 0)
 
 
 def count_terms_unnegated(text: Column, terms: list[str], negations: list[str], window: int = 4) -> Column:
@@ -79,8 +94,7 @@ def cooccurrence(text: Column, groups: list[list[str]], unit: str = "document")
 
 def tone(text: Column, up: list[str], down: list[str]) -> Column:
     """(up - down) / (up + down), 0 without either."""
-    a, b = count_terms(text, up), count_terms(text, down)
-    return F.when(a + b > 0, (a - b) / (a + b)).otherwise(F.lit(0.0))
+    return balance(count_terms(text, up), count_terms(text, down))
 
 
 def density(text: Column, terms: list[str]) -> Column:
@@ -95,8 +109,9 @@ def index_quarterly(scored: DataFrame, how: str = "mean", date: str = "date", sc
     weighted = F.sum(F.col(score) * F.coalesce(F.col(weight).cast("double"), F.lit(1.0))) if weight else None
     agg = {"mean": F.avg(score), "max": F.max(score), "dispersion": F.coalesce(F.stddev_samp(score), F.lit(0.0)), "sum_weighted": weighted}[how]
     q = scored.where(F.col(score).isNotNull()).groupBy(period(F.col(date), "quarter").alias("date")).agg(agg.alias("value"))
-    span = q.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr("interval 3 month"))).alias("date"))
-    return span.join(q, "date", "left")
+    # one row with all quarters: a join with a calendar of them would score every text again
+    whole = q.agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.map_from_entries(F.collect_list(F.struct("date", "value"))).alias("of"))
+    return whole.select("of", F.explode(F.sequence("lo", "hi", F.expr("interval 3 month"))).alias("date")).select("date", F.try_element_at("of", "date").alias("value"))
 
 
 def normalise(index: DataFrame, how: str = "zscore") -> DataFrame:

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import UNSPACED, by_language, index_quarterly, normalise, term_pattern
+from .text import UNSPACED, balance, by_language, index_quarterly, normalise, term_pattern, term_patterns
 
 Lexicon = dict[str, dict[str, list[str]]]
 
@@ -72,10 +72,18 @@ def unnegated_pattern(term: str, language: str) -> str:
     return rf"(?U)(?={own}){behind}{own}"
 
 
+def _patterns(terms: list[str], language: str, negation: bool) -> list[str]:
+    return [unnegated_pattern(t, language) for t in sorted(set(terms))] if negation else term_patterns(list(set(terms)), language)
+
+
 def hits(text: Column, terms: list[str], language: str = "en", negation: bool = False) -> Column:
     """Matches of each term, phrases too, summed; ``text`` in lower case."""
-    pattern = unnegated_pattern if negation else term_pattern
-    return sum((F.regexp_count(text, F.lit(pattern(t, language))) for t in sorted(set(terms))), F.lit(0))
+    return sum((F.regexp_count(text, F.lit(p)) for p in _patterns(terms, language, negation)), F.lit(0))
+
+
+def holds(text: Column, terms: list[str], language: str = "en", negation: bool = False) -> Column:
+    """Whether ``text``, in lower case, has a term: the first match is enough."""
+    return text.rlike("|".join(f"(?:{p})" for p in _patterns(terms, language, negation))) if terms else F.lit(False)
 
 
 def tokens(text: Column) -> Column:
@@ -97,9 +105,9 @@ def matched(text: Column, groups: list[list[str]], unit: str, language: str = "e
     def score(w: Column) -> Column:
         every = F.lit(True)
         for g in groups:
-            every = every & (hits(w, g, language, negation) > 0)
+            every = every & holds(w, g, language, negation)
         if phrases:
-            every = every | (hits(w, phrases, language, negation) > 0)
+            every = every | holds(w, phrases, language, negation)
         size = 1.0 if weight is None else 1.0 + hits(w, groups[weight], language, negation) / F.greatest(F.lit(1), tokens(w))
         return F.when(every, size).otherwise(0.0)
 
@@ -118,11 +126,10 @@ def score(text: Column, spec: Spec, terms: dict[str, list[str]], language: str,
     if spec.kernel == "document":
         every = F.lit(True)
         for g in groups:
-            every = every & (hits(low, g, language, negation) > 0)
+            every = every & holds(low, g, language, negation)
         return every.cast("double")
     if spec.kernel == "tone":
-        up, down = hits(low, groups[0], language), hits(low, groups[1], language)
-        return F.when(up + down > 0, (up - down) / (up + down)).otherwise(0.0)
+        return balance(hits(low, groups[0], language), hits(low, groups[1], language))
     return matched(low, groups, spec.kernel, language, negation, spec.weight, terms.get("phrases") if spec.kernel == "sentence" else None)
 
 

@@ -69,3 +69,29 @@ def test_corpora_and_districts(spark):
     assert got == {("A", "2020-01-01"): (0.25, 2, 2), ("A", "2020-04-01"): (None, 0, 0), ("A", "2020-07-01"): (1.0, 1, 1), ("Ab", "2020-01-01"): (1.0, 1, 1)}
     z = {(r.district, str(r.date)): r.value for r in N.district_panel(d, "bbui", lex, F.col("lang"), "district", "section", only="labor").collect()}
     assert z == {("A", "2020-01-01"): -1.0, ("A", "2020-04-01"): None, ("A", "2020-07-01"): 1.0, ("Ab", "2020-01-01"): None}
+
+
+def test_terms_are_counted_in_one_pass(spark):
+    """Words are one expression, which counts what each of them did; phrases, signs and terms given twice keep their own."""
+    from loomline.operators import text as X
+
+    terms = ["labour", "Jobs", "in", "in any", "c++", "straße", "x_1", "²", "labour"]
+    texts = [*TEXTS, "in any labour, in-in; labours c++ c++x x_1 x_12 straße m² ²", "é labouŕ in‍in in\n\nin", "LABOUR labour labour labour"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower(F.coalesce("t", F.lit(""))).alias("t"))
+    each = lambda ts: sum((F.regexp_count("t", F.lit(X.term_pattern(t))) for t in ts), F.lit(0))
+    rows = df.select(X.count_terms(F.col("t"), terms).alias("a"), each(terms).alias("b"), N.hits(F.col("t"), terms).alias("c"), each(set(terms)).alias("d"), N.holds(F.col("t"), terms).alias("e"), N.holds(F.col("t"), []).alias("f")).collect()
+    assert all(r.a == r.b and r.c == r.d and r.e == (r.d > 0) and not r.f for r in rows) and sum(r.b for r in rows) > 20
+    assert len(X.term_patterns([f"w{i}" for i in range(50)])) == 1 and len(X.term_patterns(["不", "没"], "zh")) == 2
+
+
+@pytest.mark.parametrize(("name", "most"), [("tone", 4), ("ltui_up", 10), ("epu", 6)])
+def test_each_text_is_scored_once(spark, name, most):
+    """One scan, with an expression for each use of a group of terms (in a mean's sum and in its count), whatever the number of terms."""
+    lex = {"en": {g: [f"{g[0]}{i}" for i in range(6)] for g in N.SPECS[name].groups}}
+    docs = spark.createDataFrame([("2020-01-05", "e1 h1 p1 u1", "en"), ("2021-01-05", None, "en")], "date string, text string, lang string").withColumn("date", F.to_date("date"))
+    d = N.index(docs, name, lex, F.col("lang"), negation=False)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("(?U)\\b") <= most
+    rows = d.orderBy("date").collect()
+    assert [str(r.date) for r in rows] == ["2020-01-01", "2020-04-01", "2020-07-01", "2020-10-01", "2021-01-01"] and all(r.value is None for r in rows[1:4])
+    assert N.index(docs.where("false"), name, lex, F.col("lang")).count() == 0
