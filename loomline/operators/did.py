@@ -13,9 +13,18 @@ from .regression import time_effects
 from .simplex_fit import cross, paths, simplex_weights, summed
 
 
+def cohort_cells(df: DataFrame) -> DataFrame:
+    """g, t, m, n, k: mean, rows and values of each cohort and date."""
+    return df.groupBy(F.col("treat_time").alias("g"), F.col("time").alias("t")).agg(F.avg("y").alias("m"), F.count("*").alias("n"), F.count("y").alias("k"))
+
+
 def att_gt(df: DataFrame) -> DataFrame:
     """(g, t, att, n): (Y_gt - Y_g,g-1) - (C_t - C_g-1) against the never treated, for t >= g - 1."""
-    cells = df.groupBy(F.col("treat_time").alias("g"), F.col("time").alias("t")).agg(F.avg("y").alias("m"), F.count("*").alias("n"))
+    return att_of(cohort_cells(df))
+
+
+def att_of(cells: DataFrame) -> DataFrame:
+    """``att_gt`` from ``cohort_cells``."""
     treated, never = cells.where("g is not null"), cells.where("g is null").select("t", F.col("m").alias("c"))
     base = treated.select("g", F.col("t").alias("b"), F.col("m").alias("m0")).where("b = g - 1").join(never.select(F.col("t").alias("b"), F.col("c").alias("c0")), "b").drop("b")
     d = treated.where("t >= g - 1").join(never, "t").join(base, "g")

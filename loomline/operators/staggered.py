@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.stats import norm_ppf
-from .did import att_gt
+from .did import att_of, cohort_cells
 
 
 def _banded(d: DataFrame, estimate: str, alpha: float) -> DataFrame:
@@ -21,9 +22,11 @@ def event_study_inference(df: DataFrame, weighted: bool = True, alpha: float = 0
     """e, att, se, lo, hi, cells: ``did.event_study`` with its error, cohorts' shares of an event time held fixed.
 
     An event time is a weighted sum of means of cohorts by date; a mean's coefficient depends on cohort, date and event
-    time only, so rows meet a table of as many rows as cohorts times dates times event times at most.
+    time only. Squares of units' sums are sums of products of their rows by cohort and pair of dates, so no cohort, however
+    large, meets the coefficients: a task holds one unit's dates at a time. A unit has one ``treat_time``.
     """
-    cells = att_gt(df)
+    means = checkpointed(cohort_cells(df))  # as many rows as cohorts times dates
+    cells = att_of(means)
     w = F.col("n").cast("double") if weighted else F.lit(1.0)
     cells = cells.withColumn("e", F.col("t") - F.col("g")).withColumn("share", w / F.sum(w).over(Window.partitionBy("e")))
     point = cells.groupBy("e").agg(F.sum(F.col("share") * F.col("att")).alias("att"), F.count("*").alias("cells"))
@@ -32,11 +35,15 @@ def event_study_inference(df: DataFrame, weighted: bool = True, alpha: float = 0
     g, t, share = F.col("g"), F.col("t"), F.col("share")
     four = F.explode(F.array(side(g, t, share), side(g, g - 1, -share), side(never, t, -share), side(never, g - 1, share)))
     parts = cells.select("e", four.alias("p")).groupBy("e", F.col("p.g").alias("g"), F.col("p.t").alias("t")).agg(F.sum("p.c").alias("c")).where("c <> 0")
-    by = Window.partitionBy("treat_time", "time")
-    rows = df.select("unit", "treat_time", F.col("time").cast("long").alias("time"), ((F.col("y") - F.avg("y").over(by)) / F.count("y").over(by)).alias("v")).where("v is not null")
-    met = rows.join(parts, F.col("treat_time").eqNullSafe(F.col("g")) & (F.col("time") == F.col("t")))
-    psi = met.groupBy("e", "unit").agg(F.sum(F.col("c") * F.col("v")).alias("psi"))
-    se = psi.groupBy("e").agg(F.sqrt(F.sum(F.col("psi") * F.col("psi"))).alias("se"))
+    values = df.where("y is not null").select("unit", "treat_time", "time", "y").join(F.broadcast(means), F.col("treat_time").eqNullSafe(F.col("g")) & (F.col("time") == F.col("t")))
+    own = F.struct(F.col("time").cast("long").alias("t"), ((F.col("y") - F.col("m")) / F.col("k")).alias("v"))
+    paths = values.groupBy("unit", "g").agg(F.collect_list(own).alias("p"))
+    pairs = paths.select("g", F.explode("p").alias("a"), "p").select("g", "a", F.explode("p").alias("b"))
+    products = pairs.groupBy("g", F.col("a.t").alias("t"), F.col("b.t").alias("s")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("vv"))
+    one, two = (parts.select(F.col("e").alias(f"e_{x}"), F.col("g").alias(f"g_{x}"), F.col("t").alias(f"t_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    met = products.join(one, F.col("g").eqNullSafe(F.col("g_a")) & (F.col("t") == F.col("t_a"))).join(two, F.col("g").eqNullSafe(F.col("g_b")) & (F.col("s") == F.col("t_b")) & (F.col("e_a") == F.col("e_b")))
+    square = F.sum(F.col("c_a") * F.col("c_b") * F.col("vv"))
+    se = met.groupBy(F.col("e_a").alias("e")).agg(F.sqrt(F.greatest(square, F.lit(0.0))).alias("se"))
     return _banded(point.join(se, "e", "left"), "att", alpha).select("e", "att", "se", "lo", "hi", "cells")
 
 

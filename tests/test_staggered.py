@@ -148,3 +148,25 @@ def test_nearest_deflator(spark):
             assert np.isclose(got[i][0], size / own[0][2]) and got[i][1] == unit
         else:
             assert got[i] == (size, unit)
+
+
+def test_event_study_errors_gather_no_cohort(spark):
+    """The never treated are most rows: no window may have a cohort's date as its key."""
+    rows = [(f"u{i}", t, None if (i, t) == (3, 4) else float((i * 7 + t * t * (1 + i % 3)) % 11), None if i % 3 else 2 + i % 2) for i in range(30) for t in range(6)]
+    d = staggered.event_study_inference(spark.createDataFrame(rows, "unit string, time int, y double, treat_time int"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(treat_time" not in plan
+    got = {r.e: r.se for r in d.collect()}
+    p = pd.DataFrame(rows, columns=["unit", "time", "y", "g"]).fillna({"g": -9})
+    cell = p.groupby(["g", "time"]).y.agg(["mean", "size"])
+    v = ((p.y - p.groupby(["g", "time"]).y.transform("mean")) / p.groupby(["g", "time"]).y.transform("count")).fillna(0)
+    for e in (0, 1, 2):
+        gs = [g for g in (2, 3) if g + e < 6]
+        n = {g: cell.loc[(g, g + e), "size"] for g in gs}
+        psi = pd.Series(0.0, index=p.unit.unique())
+        for g in gs:
+            for cohort, sign in ((g, 1), (-9, -1)):
+                for t, way in ((g + e, 1), (g - 1, -1)):
+                    at = (p.g == cohort) & (p.time == t)
+                    psi = psi.add((v[at] * sign * way * n[g] / sum(n.values())).set_axis(p.unit[at]), fill_value=0)
+        assert abs(got[e] - np.sqrt((psi**2).sum())) < 1e-12
