@@ -36,10 +36,10 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done, first = self.done.get()[0] if self.done.exists() else None, None
         for batch in rows:
-            for us, *x in batch[["us", *self.columns]].itertuples(index=False, name=None):
-                if done is None or us > done:
-                    self.waiting.appendValue((int(us), [None if v is None or np.isnan(v) else float(v) for v in x]))
-                    first = us if first is None else min(first, us)
+            new = [(int(us), [None if v is None or np.isnan(v) else float(v) for v in x]) for us, *x in batch[["us", *self.columns]].itertuples(index=False, name=None) if done is None or us > done]
+            if new:
+                self.waiting.appendList(new)  # one call of the state server a batch, not one a row
+                first = min([us for us, _ in new] + ([] if first is None else [first]))
         self._wake(first)
         return iter([])
 

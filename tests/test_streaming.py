@@ -81,3 +81,28 @@ def test_garch_stream_and_late_rows(rocks, tmp_path):
     assert [(r.k, r.ts, r.y) for r in got] == [w[:3] for w in want] and np.allclose([r.sigma2 for r in got], [w[3] for w in want])
     with pytest.raises(ValueError):
         O.garch(None, ["k"], "ts", "y", 0.1, 0.5, 0.6, "1 hour")
+
+
+def test_rows_of_a_batch_wait_in_one_call():
+    """A call of the state server costs more than a row."""
+    calls, timers = [], []
+
+    class Waiting:
+        def appendList(self, rows):
+            calls.append(rows)
+
+        def appendValue(self, row):
+            raise AssertionError("a call a row")
+
+    class Done:
+        def exists(self):
+            return True
+
+        def get(self):
+            return (5_000,)
+
+    p = O._InOrder(["k"], ["y"], [], None, None, None, None)
+    p.waiting, p.done, p.handle = Waiting(), Done(), type("Handle", (), {"registerTimer": lambda self, ms: timers.append(ms)})()
+    batches = [pd.DataFrame({"us": [9_000, 5_000, 7_000], "y": [1.0, 2.0, np.nan]}), pd.DataFrame({"us": [8_000], "y": [3.0]}), pd.DataFrame({"us": [1], "y": [4.0]})]
+    assert list(p.handleInputRows(("a",), iter(batches), None)) == []
+    assert calls == [[(9_000, [1.0]), (7_000, [None])], [(8_000, [3.0])]] and timers == [8]
